@@ -8,12 +8,16 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word for shingles, seeds and statistics: a run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
+#: So many texts at a time become Python objects.
+STEP = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,13 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return have.get().rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it again.
 
     What follows then depends on files that outlive any executor, and is computed once. The table
-    goes when the application ends.
+    goes when the application ends. ``rows``, an upper bound of the rows, spares small tables from
+    being written as hundreds of files: a file gets 20,000 rows at least.
     """
     spark = df.sparkSession
+    if rows is not None:
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df = df.coalesce(max(1, min(most, -(-rows // 20_000))))
     path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -66,7 +74,7 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
             made = work(b.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(n)), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))],
@@ -82,16 +90,38 @@ def keep_text(rows: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
             yield b.filter(pa.array(work(b.column(at).to_pylist()), pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def sieve(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """The rows whose ``column`` may be in the one column of ``wanted``, and few others; no shuffle of ``rows``.
+
+    A Bloom filter of one hash with at most ``bits`` bits, whatever the number of keys: its words are
+    put together where the keys are. It only spares a later join rows; once full, it spares none.
+    """
+    key = wanted.columns[0]
+    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    words = wanted.select(bit.alias("bit")).select(F.expr("CAST(bit DIV 64 AS INT) AS w"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS b"))
+    table = np.zeros(bits // 64, np.int64)
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    sent = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def may_be(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return rows.where(F.col(column).isNotNull() & may_be(F.pmod(F.xxhash64(F.col(column)), F.lit(bits))))
+
+
 class Hashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

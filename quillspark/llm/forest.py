@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Hashes, cut, map_text, word_hashes
+from quillspark.llm.common import Hashes, cut, map_text, sieve, word_hashes
 from quillspark.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -190,17 +190,21 @@ def jaccard_join(
     known = sketch.where("doc_id IS NOT NULL AND digest IS NOT NULL")
     texts = known.groupBy("digest", "text_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
     sets = texts.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
-    sets = cut(sets, "sets")
+    total = sketch.count()
+    sets = cut(sets, "sets", total)
 
     labels = sets.select("digest", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "digest")
-    joined = components(trie_runs(labels, adapted_depth(full, trees, threshold, recall)))
-    member = cut(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "n_docs", "n_texts", "grams"), "members")
-    sizes = cut(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")), "sizes")
+    runs = trie_runs(labels, adapted_depth(full, trees, threshold, recall))
+    joined = components(runs, runs.count())
+    found = joined.count()
+    member = cut(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "n_docs", "n_texts", "grams"), "members", found)
+    sizes = cut(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")), "sizes", found)
     placed = member.join(sizes, "comp").withColumn("i", F.pmod(F.xxhash64("digest", F.lit(1)), "blocks").cast("int"))
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("digest", "comp", "rep", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
     pairs = pairs.withColumn("group", F.xxhash64("comp", "lo", "hi"))
-    body = docs.select(F.col("doc_id").alias("rep"), "text").join(member.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    body = sieve(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", member.select("rep"))
+    body = body.join(member.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi").dropDuplicates(["rep"])
     rows = pairs.join(body, "rep").select("group", "comp", "lo", "hi", "i", "blocks", "digest", "n_docs", "n_texts", "text")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -218,9 +222,9 @@ def jaccard_join(
 
     verified = cut(rows.groupBy("group").applyInPandas(verify, "digest binary, n_links bigint, n_text_links bigint, root binary"), "verified")
     counts = verified.groupBy("digest").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("text_links"))
-    classes = components(verified.select(F.col("digest").alias("a"), F.col("root").alias("b")).where("a != b"))
-    named = cut(classes.join(sets.select(F.col("digest").alias("v"), "rep"), "v"), "classes")
-    ids = cut(named.groupBy("comp").agg(F.min("rep").alias("class_id")), "ids")
+    classes = components(verified.select(F.col("digest").alias("a"), F.col("root").alias("b")).where("a != b"), verified.count())
+    named = cut(classes.join(sets.select(F.col("digest").alias("v"), "rep"), "v"), "classes", found)
+    ids = cut(named.groupBy("comp").agg(F.min("rep").alias("class_id")), "ids", found)
     named = named.join(ids, "comp").select(F.col("v").alias("digest"), "class_id")
     result = sets.drop("labels").join(counts, "digest", "left").join(named, "digest", "left")
     result = cut(
@@ -232,6 +236,7 @@ def jaccard_join(
             (F.col("n_docs") - 1).alias("n_copies"),
         ),
         "result",
+        total,
     )
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     usable = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
