@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,25 +35,49 @@ def shared_dir(spark: SparkSession) -> str:
     return have.get().rstrip("/")
 
 
+def few_files(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` in fewer partitions if it has at most ``rows`` rows, each with 50,000 at least."""
+    if rows is None:
+        return df
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.coalesce(max(2, min(most, -(-rows // 50_000))))
+
+
 def cut(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it again.
 
     What follows then depends on files that outlive any executor, and is computed once. The table
     goes when the application ends. ``rows``, an upper bound of the rows, spares small tables from
-    being written as hundreds of files: a file gets 20,000 rows at least.
+    being written as hundreds of files.
     """
     spark = df.sparkSession
-    if rows is not None:
-        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df = df.coalesce(max(1, min(most, -(-rows // 20_000))))
     path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    few_files(df, rows).write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Held:
+    """Intermediate tables on the executors' disks, until they are released.
+
+    They keep their lineage, so what a lost executor held is computed again.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        self.tables.append(few_files(df, rows).persist(StorageLevel.DISK_ONLY))
+        return self.tables[-1]
+
+    def release(self) -> None:
+        for df in self.tables:
+            df.unpersist()
+        self.tables.clear()
+
+
 def map_text(
     rows: DataFrame,
     keep: list[str],

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Hashes, cut, map_text, sieve, word_hashes
+from quillspark.llm.common import Hashes, Held, cut, few_files, map_text, sieve, word_hashes
 from quillspark.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +89,7 @@ def sketches(docs: DataFrame, n: int, trees: int, full: int) -> DataFrame:
     return map_text(docs, ["doc_id"], make, fields)
 
 
-def trie_runs(labels: DataFrame, depth: int) -> DataFrame:
+def trie_runs(labels: DataFrame, depth: int, held: Held) -> DataFrame:
     """Edges (a, b) that join all digests sharing a label prefix, of ``labels`` (tree, label, digest).
 
     Range partitions of the sorted labels cut hot prefixes anywhere. In a partition each member of a
@@ -124,7 +124,7 @@ def trie_runs(labels: DataFrame, depth: int) -> DataFrame:
                 names=["a", "b", "part", "last", "prefix"],
             )
 
-    made = cut(laid.mapInArrow(run, "a binary, b binary, part int, last int, prefix binary"), "runs")
+    made = held(laid.mapInArrow(run, "a binary, b binary, part int, last int, prefix binary"))
     # Two rows a partition, whatever the data.
     before = Window.orderBy("part", "last")
     border = made.where("part IS NOT NULL").select("a", "prefix", F.lag("a").over(before).alias("b"), F.lag("prefix").over(before).alias("p"))
@@ -191,14 +191,15 @@ def jaccard_join(
     texts = known.groupBy("digest", "text_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
     sets = texts.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
     total = sketch.count()
-    sets = cut(sets, "sets", total)
+    held = Held()
+    sets = held(sets, total)
 
     labels = sets.select("digest", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "digest")
-    runs = trie_runs(labels, adapted_depth(full, trees, threshold, recall))
+    runs = trie_runs(labels, adapted_depth(full, trees, threshold, recall), held)
     joined = components(runs, runs.count())
     found = joined.count()
-    member = cut(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "n_docs", "n_texts", "grams"), "members", found)
-    sizes = cut(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")), "sizes", found)
+    member = held(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "n_docs", "n_texts", "grams"), found)
+    sizes = held(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")), found)
     placed = member.join(sizes, "comp").withColumn("i", F.pmod(F.xxhash64("digest", F.lit(1)), "blocks").cast("int"))
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("digest", "comp", "rep", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
@@ -220,11 +221,11 @@ def jaccard_join(
             out.append(pd.DataFrame({"digest": digests, "n_links": links[:, 0], "n_text_links": links[:, 1], "root": digests[root]}))
         return pd.concat(out) if out else pd.DataFrame({"digest": [], "n_links": [], "n_text_links": [], "root": []})
 
-    verified = cut(rows.groupBy("group").applyInPandas(verify, "digest binary, n_links bigint, n_text_links bigint, root binary"), "verified")
+    verified = held(rows.groupBy("group").applyInPandas(verify, "digest binary, n_links bigint, n_text_links bigint, root binary"))
     counts = verified.groupBy("digest").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("text_links"))
     classes = components(verified.select(F.col("digest").alias("a"), F.col("root").alias("b")).where("a != b"), verified.count())
-    named = cut(classes.join(sets.select(F.col("digest").alias("v"), "rep"), "v"), "classes", found)
-    ids = cut(named.groupBy("comp").agg(F.min("rep").alias("class_id")), "ids", found)
+    named = held(classes.join(sets.select(F.col("digest").alias("v"), "rep"), "v"), found)
+    ids = held(named.groupBy("comp").agg(F.min("rep").alias("class_id")), found)
     named = named.join(ids, "comp").select(F.col("v").alias("digest"), "class_id")
     result = sets.drop("labels").join(counts, "digest", "left").join(named, "digest", "left")
     result = cut(
@@ -238,13 +239,15 @@ def jaccard_join(
         "result",
         total,
     )
+    held.release()
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     usable = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
-    return (
+    final = (
         sketch.select("doc_id", usable.alias("digest"))
         .join(result, F.col("digest") == F.col("key"), "left")
         .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), zero("n_links"), zero("n_text_links"), zero("n_copies"))
     )
+    return few_files(final, total)
 
 
 def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
