@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word for shingles, seeds and statistics: a run of letters and digits.
@@ -121,26 +121,25 @@ def keep_text(rows: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
     return rows.mapInArrow(run, rows.schema)
 
 
-def sieve(rows: DataFrame, column: str, wanted: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """The rows whose ``column`` may be in the one column of ``wanted``, and few others; no shuffle of ``rows``.
+def may_be_in(column: str, wanted: DataFrame, bits: int = 1 << 24) -> Column:
+    """Whether ``column`` may be in the one column of ``wanted``: true for all that are and few others; false for null.
 
     A Bloom filter of one hash with at most ``bits`` bits, whatever the number of keys: its words are
-    put together where the keys are. It only spares a later join rows; once full, it spares none.
+    put together where the keys are. It spares a join rows; once full, it spares none.
     """
-    key = wanted.columns[0]
-    bit = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
+    bit = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(bits))
     words = wanted.select(bit.alias("bit")).select(F.expr("CAST(bit DIV 64 AS INT) AS w"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS b"))
     table = np.zeros(bits // 64, np.int64)
     got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    sent = rows.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    sent = wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
     @F.pandas_udf("boolean")
-    def may_be(at: pd.Series) -> pd.Series:
+    def look_up(at: pd.Series) -> pd.Series:
         at = at.to_numpy(np.int64)
         return pd.Series((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
 
-    return rows.where(F.col(column).isNotNull() & may_be(F.pmod(F.xxhash64(F.col(column)), F.lit(bits))))
+    return F.col(column).isNotNull() & look_up(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)))
 
 
 class Hashes(dict):

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Hashes, Held, cut, few_files, map_text, sieve, word_hashes
+from quillspark.llm.common import Hashes, Held, cut, few_files, map_text, may_be_in, word_hashes
 from quillspark.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -204,7 +204,7 @@ def jaccard_join(
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("digest", "comp", "rep", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
     pairs = pairs.withColumn("group", F.xxhash64("comp", "lo", "hi"))
-    body = sieve(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", member.select("rep"))
+    body = docs.select(F.col("doc_id").alias("rep"), "text").where(may_be_in("rep", member.select("rep")))
     body = body.join(member.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi").dropDuplicates(["rep"])
     rows = pairs.join(body, "rep").select("group", "comp", "lo", "hi", "i", "blocks", "digest", "n_docs", "n_texts", "text")
 
@@ -255,10 +255,14 @@ def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
 
     All columns are kept. Rows without doc_id, and texts without words, are in no class and stay, but
     of rows that repeat a doc_id with the same text one stays.
+
+    Only rows that a filter can't clear are shuffled: those to drop, and those that repeat an id.
     """
-    found = jaccard_join(docs, **options)
-    best = cut(found.where("doc_id IS NOT NULL AND doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "kept").select(F.col("doc_id").alias("__kept"), F.col("times").alias("__times"))
-    joined = docs.join(best, docs["doc_id"] == best["__kept"])
-    once = joined.where("__times = 1").select(docs.columns)
-    again = joined.where("__times > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL"))
+    found = jaccard_join(docs, **options).where("doc_id IS NOT NULL")
+    per_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("doc_id") == F.col("class_id")).alias("__stays"), F.count(F.lit(1)).alias("__times"))
+    odd = cut(per_id.where("NOT __stays OR __times > 1"), "dropped")
+    touched = may_be_in("doc_id", odd.select("__id"))
+    rest = docs.where(touched).join(odd, F.col("doc_id") == F.col("__id"), "left")
+    once = rest.where("__id IS NULL").select(docs.columns)
+    again = rest.where("__stays AND __times > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return docs.where(~touched).unionByName(once).unionByName(again)

@@ -74,18 +74,19 @@ def place(docs: DataFrame, carry: list[str], weights: tuple[int, ...], schedules
     cells, which share the first ``digits`` digits, and those before it in its own cell.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(*carry, *([] if "doc_id" in carry else ["doc_id"]), F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), key.alias("__key"))
-    rows = rows.withColumn("__cell", F.substring("__key", 1, digits))
-    light = docs.select("doc_id", F.col("source").alias("__source"), word_count(F.col("text")).alias("__size")).withColumn("__cell", F.substring(key, 1, digits))
+    # One key for source and cell, so that the window and the join share a shuffle.
+    cell = F.concat(F.substring(key, 1, digits), F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))))
+    rows = docs.select(*carry, *([] if "doc_id" in carry else ["doc_id"]), word_count(F.col("text")).alias("__size"), key.alias("__key"), cell.alias("__cell"))
+    light = docs.select(F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), cell.alias("__cell"))
     cells = cut(light.groupBy("__source", "__cell").agg(F.sum("__size").alias("__in_cell")), "cells")
     goal = targets(cells.groupBy(F.col("__source").alias("source")).agg(F.sum("__in_cell").alias("source_size")), weights, most)
     earlier = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     shift = cells.select("__source", "__cell", F.coalesce(F.sum("__in_cell").over(earlier), F.lit(0)).alias("__shift"))
-    table = shift.join(goal, shift["__source"].eqNullSafe(goal["source"])).select(F.col("__source").alias("__s"), F.col("__cell").alias("__c"), "__shift", "source_size", "kind", "target")
+    table = shift.join(goal, shift["__source"].eqNullSafe(goal["source"])).select(F.col("__cell").alias("__c"), "__shift", "source_size", "kind", "target")
     table = cut(table, "targets")
-    in_cell = Window.partitionBy("__source", "__cell").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = Window.partitionBy("__cell").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("__before", F.coalesce(F.sum("__size").over(in_cell), F.lit(0)))
-    joined = numbered.join(table, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c")))
+    joined = numbered.join(table, F.col("__cell") == F.col("__c"))
     start = F.col("__shift") + F.col("__before")
     middle = lambda e: start + F.col("source_size") * F.lit(e) + F.col("__size") / F.lit(2.0)
     share = lambda e: F.when(middle(e) < F.col("target"), middle(e) / F.col("target"))
