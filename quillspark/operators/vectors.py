@@ -118,7 +118,7 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def search(vectors: DataFrame, query: list[float], k: int | None, key: str = "vec_id") -> DataFrame:
     """The ``k`` nearest by cosine distance, ties to the smaller key, zero vectors last; no rows for a null ``k`` or an empty query."""
     at = F.array(*(F.lit(float(x)) for x in query)) if query else F.lit(None).cast("array<double>")
-    found = vectors.withColumn("distance", F.round(cosine_distance(F.col("embedding"), at), 6))
+    found = vectors.withColumn("distance", F.round(cosine_distance(F.col("embedding"), at), 6) + F.lit(0.0))
     return found.orderBy(F.col("distance").asc_nulls_last(), key).limit(k if k and query else 0)
 
 
@@ -151,7 +151,7 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
                     raise ValueError("vectors of different lengths")
                 norm = np.outer(qn, np.linalg.norm(v, axis=1))
                 with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.where(norm > 0, np.round(1 - (q @ v.T) / norm, 6), np.inf)
+                    d = np.where(norm > 0, np.round(1 - (q @ v.T) / norm, 6) + 0.0, np.inf)
                 for j in range(len(names)):
                     top = np.lexsort((ids, d[j]))[:k]
                     best[j] = sorted(best[j] + list(zip(d[j][top].tolist(), ids[top].tolist(), strict=True)))[:k]

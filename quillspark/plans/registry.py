@@ -1,15 +1,296 @@
-"""Queries of the engine's own operators, with the SQL they equal."""
+"""Queries of the engine's own operators over whole tables, with the SQL they equal."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as T
+from quillspark.operators import documents as D
+from quillspark.operators import rag
+from quillspark.operators import vectors as V
+
+#: Terms of the redaction query; the first is allowed to stay.
+TERMS = ["the", "ererthan", "license", "tion", "apache"]
+KEEP = ["the"]
+BUDGET = 450
+BATCH = 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_ascii(F.col("text")).alias("text"))
+
+
+def clean_text(spark, d):
+    return cleaned(spark, d).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def normalized_text(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
+
+
+def loaded(spark, d):
+    """Pages as loaded documents: the URL as path, its parts as name and folder."""
+    pages = table(spark, d, "pages")
+    path = F.regexp_replace("url", "[?#].*$", "")
+    return pages.select(path.alias("file_path"), T.base_name(path).alias("file_name"), F.regexp_extract(path, r"^[a-z]+://([^/]*)", 1).alias("folder"), "page_id", F.col("html").alias("text"))
+
+
+def doc_listing(spark, d):
+    return D.listing(loaded(spark, d))
+
+
+def doc_count(spark, d):
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total_documents"))
+
+
+def basename(spark, d):
+    return table(spark, d, "pages").select("page_id", T.base_name(F.col("url")).alias("base_name"))
+
+
+def suffix_filter(spark, d):
+    return D.with_suffix(loaded(spark, d), "5").select("page_id", "file_name")
+
+
+def basename_latest(spark, d):
+    rows = loaded(spark, d).select("file_name", "file_path", "page_id", F.concat_ws("|", "file_path", F.lpad(F.col("page_id").cast("string"), 20, "0")).alias("o"))
+    return D.latest_by_name(rows, "file_name", "o").select("file_name", "file_path", "page_id")
+
+
+def preview(spark, d):
+    return D.preview(loaded(spark, d).select("page_id", "file_name"), "page_id")
+
+
+def pii_emails(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(T.emails(F.col("text"))).cast("bigint").alias("n_emails"))
+
+
+def pii_phones(spark, d):
+    return cleaned(spark, d).select("doc_id", F.array_join(T.phones(F.col("text")), ",").alias("phones"))
+
+
+def pii_codes(spark, d):
+    return cleaned(spark, d).select("doc_id", F.array_join(T.codes(F.col("text")), ",").alias("codes"))
+
+
+def sensitive_terms(spark, d):
+    return cleaned(spark, d).select("doc_id", F.array_join(T.sensitive_terms(F.col("text")), ",").alias("terms"))
+
+
+def redact_terms(spark, d):
+    out = table(spark, d, "documents").select("doc_id", D.redact(F.col("text"), TERMS, KEEP).alias("t"))
+    return out.select("doc_id", F.md5(F.col("t").cast("binary")).alias("text_md5"), F.length("t").cast("bigint").alias("n_chars"))
+
+
+def token_counts(spark, d):
+    return cleaned(spark, d).select("doc_id", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"), F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"))
+
+
+def sentence_parts(spark, d):
+    from quillspark.functions import chunks as C
+
+    spread = cleaned(spark, d).select("doc_id", F.posexplode(C.parts(F.col("text"), BUDGET)).alias("part_no", "p"))
+    return spread.select("doc_id", F.col("part_no").cast("bigint").alias("part_no"), F.col("p.n").cast("bigint").alias("n_tokens"), F.md5(F.col("p.part").cast("binary")).alias("part_md5"))
+
+
+def sentence_chunks(spark, d):
+    out = D.packed_chunks(cleaned(spark, d), "doc_id", "text", BUDGET)
+    return out.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("n_tokens").cast("bigint").alias("n_tokens"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+def chunk_counts(spark, d):
+    from quillspark.functions import chunks as C
+
+    return cleaned(spark, d).select("doc_id", F.size(C.packed(C.parts(F.col("text"), BUDGET), BUDGET)).cast("bigint").alias("n_chunks"))
+
+
+def char_chunks(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    return D.char_chunks(docs).select("file_path", "chunk_index", "text", F.array_join("sensitive_terms", ",").alias("terms"), F.col("metadata.chunk_length").alias("chunk_length"), F.col("metadata.total_chunks").alias("total_chunks"))
+
+
+def _marks(html, tag):
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+
+
+def blocks_headings(spark, d):
+    spread = table(spark, d, "pages").select("page_id", F.posexplode(_marks(F.col("html"), "h1")).alias("n", "h"))
+    return spread.select("page_id", F.col("n").cast("bigint").alias("n"), F.concat(F.lit("# "), T.strip(F.col("h"))).alias("line"))
+
+
+def blocks_bullets(spark, d):
+    items = F.transform(_marks(F.col("html"), "li"), lambda x: F.concat(F.lit("- "), T.strip(F.regexp_replace(x, "<[^>]*>", ""))))
+    return table(spark, d, "pages").select("page_id", F.size(items).cast("bigint").alias("n_items"), F.array_join(items, "\n").alias("lines"))
+
+
+def blocks_tables(spark, d):
+    """Rows of page tables as piped lines."""
+    rows = F.transform(_marks(F.col("html"), "tr"), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), T.strip), " | "), F.lit(" |")))
+    return table(spark, d, "pages").select("page_id", F.size(rows).cast("bigint").alias("n_rows"), F.array_join(rows, "\n").alias("lines"))
+
+
+def mean_pool(spark, d):
+    out = V.mean_pool(table(spark, d, "embeddings"), "label")
+    return out.select("label", F.col("pos").cast("bigint").alias("pos"), (F.round("mean", 6) + F.lit(0.0)).alias("mean"))
+
+
+def depth_counts(spark, d):
+    words = F.size(T.words(F.col("text")))
+    return table(spark, d, "documents").select(V.halving_depth(words, BUDGET).cast("bigint").alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+
+
+def embed_stats(spark, d):
+    """Statistics as if every text were embedded: blank ones have no vector and no depth."""
+    n = F.size(T.words(F.col("text")))
+    rows = table(spark, d, "documents").select(F.when(n > 0, V.halving_depth(n, BUDGET)).alias("depth"), F.when(n > 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
+    out = V.embed_stats(rows)
+    return out.select("total_chunks", "successful_embeddings", "empty_vectors", F.array_max(F.map_keys("split_depth_counts")).cast("bigint").alias("max_depth"))
+
+
+def embed_documents(spark, d):
+    out = V.embed(table(spark, d, "documents"), "text")
+    return out.select("doc_id", F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("embedding"), "depth")
+
+
+def store_valid(spark, d):
+    rows = V.storable(table(spark, d, "embeddings"))
+    return rows.select("vec_id", F.size("embedding").cast("bigint").alias("dims"))
+
+
+def vector_topk(spark, d):
+    vectors = table(spark, d, "embeddings")
+    first = vectors.where("vec_id = 0").select("embedding").first()
+    out = V.search(vectors, list(first[0]) if first else [], 5)
+    return out.select("vec_id", "distance")
+
+
+def vector_topk_batch(spark, d):
+    vectors = table(spark, d, "embeddings")
+    queries = vectors.where(f"vec_id < {BATCH}").select(F.col("vec_id").alias("query_id"), "embedding")
+    out = V.search_batch(vectors, queries, 5)
+    return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "distance")
+
+
+def context_assembly(spark, d):
+    out = D.context(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    return out.select("conv_id", F.length("context").cast("bigint").alias("n_chars"), F.md5(F.col("context").cast("binary")).alias("context_md5"))
+
+
+def prompts(spark, d):
+    turns = table(spark, d, "conversations")
+    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"))
+    out = D.context(turns, "conv_id", "turn", "text").join(asked, "conv_id")
+    return out.select("conv_id", F.md5(rag.prompt(F.col("context"), F.col("question")).cast("binary")).alias("prompt_md5"))
+
+
+def ask(spark, d):
+    chunks = D.packed_chunks(table(spark, d, "documents"), "doc_id")
+    store = V.storable(V.embed(chunks)).select(F.xxhash64("doc_id", "chunk_index").alias("vec_id"), "chunk", "embedding", F.to_json(F.struct("doc_id", "chunk_index")).alias("metadata"))
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rag.ask(questions, store, 5).select("query_id", "answer", F.size("chunks").alias("n_hits"), "error")
+
+
+def metadata_json(spark, d):
+    meta = D.metadata(F.col("props"))
+    return table(spark, d, "events").select("event_id", F.size(meta).cast("bigint").alias("n_keys"), F.array_join(F.array_sort(F.map_keys(meta)), ",").alias("keys"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    every = (
+        clean_text, normalized_text, doc_listing, doc_count, basename, suffix_filter, basename_latest, preview, pii_emails, pii_phones, pii_codes, sensitive_terms,
+        redact_terms, token_counts, sentence_parts, sentence_chunks, chunk_counts, char_chunks, blocks_headings, blocks_bullets, blocks_tables, mean_pool, depth_counts,
+        embed_stats, embed_documents, store_valid, vector_topk, vector_topk_batch, context_assembly, prompts, ask, metadata_json,
+    )
+    return {f.__name__: f for f in every}
+
+
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_CLEAN = _STRIP.format(r"regexp_replace(regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]+', ' ', 'g'), '[^\x09\x0A\x0D\x20-\x7E]+', '', 'g')".replace("{{", "{").replace("}}", "}"))
+_DOCS = f"docs AS (SELECT doc_id, {_CLEAN} AS text FROM documents)"
+_TOKENS = r"regexp_extract_all({}, '\w+|[^\w\s]')"
+_LOADED = r"""loaded AS (SELECT *, regexp_extract(file_path, '[^/\\]+$', 0) AS file_name, regexp_extract(file_path, '^[a-z]+://([^/]*)', 1) AS folder
+  FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS file_path FROM pages))"""
+_EMAIL = r"'(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'"
+_PHONE = r"'\b\d{10}\b'"
+_CODE = r"'\b[A-Z]{2,}\d+\b'"
+_SENTENCES = rf"""
+{_DOCS},
+split AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM docs),
+one AS (SELECT doc_id, generate_subscripts(s, 1) AS sno, unnest(s) AS s FROM split),
+sent AS (SELECT doc_id, sno, {_STRIP.format("s")} AS s FROM one),
+tok AS (SELECT doc_id, sno, s, {_TOKENS.format("s")} AS w FROM sent WHERE s <> ''),
+halves AS (
+  SELECT doc_id, sno, '' AS path, s AS part, w FROM tok
+  UNION ALL
+  SELECT doc_id, sno, path || b, array_to_string(h, ' '), h FROM (
+    SELECT doc_id, sno, path, b, CASE b WHEN '0' THEN w[1:len(w) // 2] ELSE w[len(w) // 2 + 1:len(w)] END AS h
+    FROM halves, (VALUES ('0'), ('1')) t(b) WHERE len(w) > {BUDGET})),
+parts AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY sno, path) - 1 AS part_no, part, len(w) AS n FROM halves WHERE len(w) <= {BUDGET})"""
+_PACKED = rf"""{_SENTENCES},
+fold AS (
+  SELECT doc_id, part_no, CAST(0 AS BIGINT) AS chunk_index, n AS k FROM parts WHERE part_no = 0
+  UNION ALL
+  SELECT p.doc_id, p.part_no, CASE WHEN f.k + p.n > {BUDGET} THEN f.chunk_index + 1 ELSE f.chunk_index END, CASE WHEN f.k + p.n > {BUDGET} THEN p.n ELSE f.k + p.n END
+  FROM fold f JOIN parts p ON p.doc_id = f.doc_id AND p.part_no = f.part_no + 1),
+packed AS (SELECT doc_id, chunk_index, CAST(sum(p.n) AS BIGINT) AS n_tokens, string_agg(p.part, ' ' ORDER BY part_no) AS chunk FROM fold JOIN parts p USING (doc_id, part_no) GROUP BY doc_id, chunk_index)"""
+_WORDS = r"len(list_filter(string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), lambda x: x <> ''))"
+_DEPTH = f"CASE WHEN n <= {BUDGET} THEN 0 ELSE " + " + ".join(f"CAST(n > {BUDGET * 2**i} AS BIGINT)" for i in range(20)) + " END"
+
+
+def _redacted() -> str:
+    use = sorted({t for t in TERMS if t not in KEEP}, key=lambda t: (-len(t), t))
+    return f"regexp_replace(text, '(?i){'|'.join(use)}', '[REDACTED]', 'g')"
+
+
+def _cosine(a: str, b: str) -> str:
+    return f"round(1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6) + 0.0"
+
+
+def _prompt(passages: str, question: str) -> str:
+    return f"'Answer from these passages only.' || chr(10) || chr(10) || 'Passages:' || chr(10) || {passages} || chr(10) || chr(10) || 'Question: ' || {question} || chr(10) || 'Answer:'"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    terms = f"list_sort(list_distinct(list_concat(list_concat(regexp_extract_all(text, {_EMAIL}), regexp_extract_all(text, {_PHONE})), regexp_extract_all(text, {_CODE}))))"
+    cells = r"list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda x: " + _STRIP.format("x") + ")"
+    return {
+        "clean_text": f"WITH {_DOCS} SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM docs",
+        "normalized_text": f"WITH n AS (SELECT doc_id, text FROM documents), {_DOCS} SELECT doc_id, length(text) AS n_chars FROM docs",
+        "doc_listing": f"WITH {_LOADED} SELECT file_name AS file, folder, file_path AS path FROM loaded",
+        "doc_count": "SELECT count(*) AS total_documents FROM documents",
+        "basename": r"SELECT page_id, regexp_extract(url, '[^/\\]+$', 0) AS base_name FROM pages",
+        "suffix_filter": f"WITH {_LOADED} SELECT page_id, file_name FROM loaded WHERE lower(file_name) LIKE '%5' AND NOT starts_with(file_name, '~$')",
+        "basename_latest": f"WITH {_LOADED} SELECT file_name, file_path, page_id FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY file_path || '|' || lpad(CAST(page_id AS VARCHAR), 20, '0') DESC) AS n FROM loaded) WHERE n = 1",
+        "preview": f"WITH {_LOADED} SELECT page_id, file_name FROM loaded ORDER BY page_id LIMIT 1",
+        "pii_emails": f"SELECT doc_id, len(regexp_extract_all(text, {_EMAIL})) AS n_emails FROM documents",
+        "pii_phones": f"WITH {_DOCS} SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, {_PHONE}), ','), '') AS phones FROM docs",
+        "pii_codes": f"WITH {_DOCS} SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, {_CODE}), ','), '') AS codes FROM docs",
+        "sensitive_terms": f"WITH {_DOCS} SELECT doc_id, coalesce(array_to_string({terms}, ','), '') AS terms FROM docs",
+        "redact_terms": f"SELECT doc_id, md5({_redacted()}) AS text_md5, length({_redacted()}) AS n_chars FROM documents",
+        "token_counts": f"WITH {_DOCS} SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens, {_WORDS} AS n_words FROM docs",
+        "sentence_parts": f"WITH RECURSIVE {_SENTENCES} SELECT doc_id, part_no, n AS n_tokens, md5(part) AS part_md5 FROM parts",
+        "sentence_chunks": f"WITH RECURSIVE {_PACKED} SELECT doc_id, chunk_index, n_tokens, md5(chunk) AS chunk_md5 FROM packed",
+        "chunk_counts": f"WITH RECURSIVE {_PACKED} SELECT d.doc_id, count(p.doc_id) AS n_chunks FROM docs d LEFT JOIN packed p USING (doc_id) GROUP BY d.doc_id",
+        "blocks_headings": f"SELECT page_id, CAST(n - 1 AS BIGINT) AS n, '# ' || {_STRIP.format('h')} AS line FROM (SELECT page_id, generate_subscripts(m, 1) AS n, unnest(m) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS m FROM pages))",
+        "blocks_bullets": f"""SELECT page_id, len(m) AS n_items, coalesce(array_to_string(list_transform(m, lambda x: '- ' || {_STRIP.format("regexp_replace(x, '<[^>]*>', '', 'g')")}), chr(10)), '') AS lines
+            FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS m FROM pages)""",
+        "blocks_tables": f"""SELECT page_id, len(m) AS n_rows, coalesce(array_to_string(list_transform(m, lambda r: '| ' || coalesce(array_to_string({cells}, ' | '), '') || ' |'), chr(10)), '') AS lines
+            FROM (SELECT page_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS m FROM pages)""",
+        "mean_pool": "SELECT label, pos - 1 AS pos, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS mean FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY label, pos",
+        "depth_counts": f"SELECT {_DEPTH} AS depth, count(*) AS n FROM (SELECT {_WORDS} AS n FROM documents) GROUP BY 1",
+        "embed_stats": f"SELECT count(*) AS total_chunks, count(*) FILTER (n > 0) AS successful_embeddings, count(*) FILTER (n = 0) AS empty_vectors, max(CASE WHEN n > 0 THEN {_DEPTH} END) AS max_depth FROM (SELECT {_WORDS} AS n FROM documents)",
+        "store_valid": "SELECT vec_id, len(embedding) AS dims FROM embeddings WHERE coalesce(len(embedding), 0) > 0",
+        "vector_topk": f"SELECT v.vec_id, {_cosine('v.embedding', 'q.embedding')} AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY distance, v.vec_id LIMIT 5",
+        "vector_topk_batch": f"""SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance
+            FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('v.embedding', 'q.embedding')} AS distance FROM embeddings v, embeddings q WHERE q.vec_id < {BATCH})) WHERE rank <= 5""",
+        "context_assembly": "SELECT conv_id, length(c) AS n_chars, md5(c) AS context_md5 FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id)",
+        "prompts": f"""SELECT conv_id, md5({_prompt('c', 'q')}) AS prompt_md5 FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS c, arg_min(text, turn) FILTER (role = 'user') AS q FROM conversations GROUP BY conv_id) WHERE q IS NOT NULL""",
+        "metadata_json": "SELECT event_id, coalesce(len(json_keys(props)), 0) AS n_keys, coalesce(array_to_string(list_sort(json_keys(props)), ','), '') AS keys FROM events",
+    }
