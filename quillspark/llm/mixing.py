@@ -82,27 +82,27 @@ def place(docs: DataFrame, carry: list[str], weights: tuple[int, ...], schedules
     goal = targets(cells.groupBy(F.col("__source").alias("source")).agg(F.sum("__in_cell").alias("source_size")), weights, most)
     earlier = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     shift = cells.select("__source", "__cell", F.coalesce(F.sum("__in_cell").over(earlier), F.lit(0)).alias("__shift"))
-    table = shift.join(goal, shift["__source"].eqNullSafe(goal["source"])).select(F.col("__cell").alias("__c"), "__shift", "source_size", "kind", "target")
+    table = shift.join(goal, shift["__source"].eqNullSafe(goal["source"])).select(F.col("__cell").alias("__c"), "__shift", F.col("source_size").alias("__total"), F.col("kind").alias("__kind"), F.col("target").alias("__goal"))
     table = cut(table, "targets")
     in_cell = Window.partitionBy("__cell").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("__before", F.coalesce(F.sum("__size").over(in_cell), F.lit(0)))
     joined = numbered.join(table, F.col("__cell") == F.col("__c"))
     start = F.col("__shift") + F.col("__before")
-    middle = lambda e: start + F.col("source_size") * F.lit(e) + F.col("__size") / F.lit(2.0)
-    share = lambda e: F.when(middle(e) < F.col("target"), middle(e) / F.col("target"))
+    middle = lambda e: start + F.col("__total") * F.lit(e) + F.col("__size") / F.lit(2.0)
+    share = lambda e: F.when(middle(e) < F.col("__goal"), middle(e) / F.col("__goal"))
 
     def when(e: int) -> Column:
         out = F.lit(None).cast("double")
         for k, schedule in reversed(list(enumerate(schedules))):
-            out = F.when(F.col("kind") == k, time_of(share(e), schedule)).otherwise(out)
+            out = F.when(F.col("__kind") == k, time_of(share(e), schedule)).otherwise(out)
         return out
 
     positions = F.filter(F.array(*(when(e) for e in range(most))), lambda p: p.isNotNull())
     return joined.withColumn("__positions", positions).select(
         *carry,
         "__size",
-        F.col("source_size").alias("__source_size"),
-        F.col("target").alias("__target"),
+        F.col("__total").alias("__source_size"),
+        F.col("__goal").alias("__target"),
         F.size("__positions").cast("bigint").alias("__times"),
         "__positions",
     )

@@ -102,8 +102,10 @@ NAMES = re.compile(rf"(?i)\b(?:plus[ ,.-]{{0,3}})?{_NAME}(?:(?:[ ,.-]{{1,3}}|[ ,
 NAME = re.compile(rf"(?i)plus|dot|{_NAME}|[0-9]")
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|_dot_)"
 _AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+@\s+|_at_)"
-#: An at sign in disguise before a host; a bare word counts only if a dot is disguised too.
-AT = re.compile(rf"(?i)(?<=[\w.%+-])(?:{_AT}(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|\s+(?:at|arroba|arobase)\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9]))")
+#: What a host in bare words has to end with.
+_TOP = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|ai|me|eu|us|uk|de|fr|es|it|nl|ch|at|be|pt|se|no|dk|fi|pl|cz|ru|cn|jp|kr|in|br|mx|ar|ca|au|nz|za"
+#: An at sign in disguise before a host; a bare word counts only if the last dot is disguised too and a known ending follows.
+AT = re.compile(rf"(?i)(?<=[\w.%+-])(?:{_AT}(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|\s+(?:at|arroba|arobase)\s+(?=[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+){{0,5}}{_DOT}(?:{_TOP})\b))")
 DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])")
 #: What AT and DOT need; tells most texts apart cheaply.
 HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|_dot_|[\[({<]\s*(?:at|arroba|arobase|@|\.)\s*[\])}>]|\s@\s|_at_")

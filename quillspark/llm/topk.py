@@ -84,7 +84,7 @@ def whole(vector: F.Column) -> F.Column:
 def _grouped(ids: np.ndarray, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Rows by number of dimensions, as arrays."""
     sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
-    return {int(d): (ids[sizes == d], np.array([v for v in vectors if len(v) == d], np.int64).reshape(-1, int(d))) for d in np.unique(sizes)}
+    return {int(d): (ids[sizes == d], np.array([v for v in vectors if len(v) == d], np.int64).reshape(int((sizes == d).sum()), int(d))) for d in np.unique(sizes)}
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, queries_mb: int = 32) -> DataFrame:
