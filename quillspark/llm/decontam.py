@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import WORD, keep_text
 
-#: Any 13 words with 2 substituted hold 4 whole words in a row; the other masks bridge denser substitutions.
+#: Any 10 words of which any 2 are substituted hold a seed of one of these masks.
 MASKS = ("1111", "11011", "1101001", "110011")
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -108,7 +108,7 @@ def slices_of(benchmark: DataFrame, masks: tuple[str, ...], slice_mb: int) -> It
         yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], masks))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
     """Overlaps of ``docs`` (doc_id, text) with ``benchmark`` (item_id, text).
 
     One row for each row of ``docs`` and item that share ``window`` consecutive positions (or the
@@ -139,7 +139,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, least:
     return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
     """The rows of ``docs`` that have no overlap in the sense of :func:`contaminated`, with all their columns."""
     for sent in slices_of(benchmark, masks, slice_mb):
         docs = keep_text(docs, lambda sent=sent: lambda texts: [not (t and sent.value.overlaps(t, window, least)) for t in texts])

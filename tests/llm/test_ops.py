@@ -89,6 +89,14 @@ def test_decontamination_brute(spark, texts):
         assert {index.ids[k] for k in index.overlaps(t, 13, 0.8)} == {x["item_id"] for x in items if plain_overlap(tok(x["text"]), t.split(), 13, 0.8)}
 
 
+def test_masks_find_every_ten_words_with_two_substituted():
+    item = decontam.Index([(1, " ".join(f"w{i}" for i in range(10)))], decontam.MASKS)
+    for a in range(10):
+        for b in range(a):
+            text = " ".join("zz" if i in (a, b) else f"w{i}" for i in range(10))
+            assert item.overlaps(text, 10, 0.8)
+
+
 def test_decontamination_cases(spark, hard, none):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, "one"), (None, "x y z w q")], "item_id bigint, text string")
     got = [(r["doc_id"], r["item_id"], r["n_same"]) for r in decontam.contaminated(hard, bench).collect()]
