@@ -108,7 +108,9 @@ def sentence_chunks(spark, d):
 def chunk_counts(spark, d):
     from quillspark.functions import chunks as C
 
-    return cleaned(spark, d).select("doc_id", F.size(C.packed(C.parts(F.col("text"), BUDGET), BUDGET)).cast("bigint").alias("n_chunks"))
+    # The pieces are a column of their own: an expression would be evaluated again at every use.
+    pieces = cleaned(spark, d).select("doc_id", C.parts(F.col("text"), BUDGET).alias("pieces"))
+    return pieces.select("doc_id", F.size(C.packed(F.col("pieces"), BUDGET)).cast("bigint").alias("n_chunks"))
 
 
 def char_chunks(spark, d):
@@ -142,14 +144,14 @@ def mean_pool(spark, d):
 
 
 def depth_counts(spark, d):
-    words = F.size(T.words(F.col("text")))
-    return table(spark, d, "documents").select(V.halving_depth(words, BUDGET).cast("bigint").alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    words = table(spark, d, "documents").select(F.size(T.words(F.col("text"))).alias("n"))
+    return words.select(V.halving_depth(F.col("n"), BUDGET).cast("bigint").alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 def embed_stats(spark, d):
     """Statistics as if every text were embedded: blank ones have no vector and no depth."""
-    n = F.size(T.words(F.col("text")))
-    rows = table(spark, d, "documents").select(F.when(n > 0, V.halving_depth(n, BUDGET)).alias("depth"), F.when(n > 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
+    n = F.col("n")
+    rows = table(spark, d, "documents").select(F.size(T.words(F.col("text"))).alias("n")).select(F.when(n > 0, V.halving_depth(n, BUDGET)).alias("depth"), F.when(n > 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
     out = V.embed_stats(rows)
     return out.select("total_chunks", "successful_embeddings", "empty_vectors", F.array_max(F.map_keys("split_depth_counts")).cast("bigint").alias("max_depth"))
 
