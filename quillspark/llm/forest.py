@@ -67,7 +67,7 @@ def adapted_depth(full: int, trees: int, similarity: float, recall: float) -> in
 
 
 def sketches(docs: DataFrame, n: int, trees: int, full: int) -> DataFrame:
-    """doc_id, digest of the n-gram set (null if empty), text_hash, size of the set and a label a tree."""
+    """doc_id, text_key, digest of the n-gram set (null if empty), text_hash, size of the set and a label a tree."""
 
     def make() -> Callable[[list], list[list]]:
         known, (a, b) = Hashes(), permutations(trees * full)
@@ -86,7 +86,7 @@ def sketches(docs: DataFrame, n: int, trees: int, full: int) -> DataFrame:
         return work
 
     fields = [("digest", "binary", pa.binary()), ("text_hash", "binary", pa.binary()), ("grams", "int", pa.int32()), ("labels", "array<binary>", pa.list_(pa.binary()))]
-    return map_text(docs, ["doc_id"], make, fields)
+    return map_text(docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")), ["doc_id", "text_key"], make, fields)
 
 
 def trie_runs(labels: DataFrame, depth: int, held: Held) -> DataFrame:
@@ -178,35 +178,41 @@ def jaccard_join(
 
     Words are runs of letters and digits in lower case. Texts of fewer than ``n`` words are one
     n-gram. Texts without words, and null texts, are similar to nothing. Rows without doc_id take no
-    part and get null, 0, 0, 0. Rows that repeat a doc_id count as rows of their own in n_links. Other
-    columns are not read.
+    part and get null, 0, 0, 0. Rows that repeat a doc_id, with the same text or another, count as
+    rows of their own in n_links. Other columns are not read.
 
     Equal sets meet once, so copies cost a count. The chance to miss a pair at exactly the threshold
     is 1 - ``recall`` or less, and falls fast above; pairs of one candidate component are all
     verified, met or not. A component of many members is cut into blocks of about ``block_docs``
     sets or ``block_grams`` n-grams, and each pair of blocks is a group of its own.
     """
+    rows = classified(docs, n, threshold, trees, full, recall, block_docs, block_grams)
+    return rows.select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
+
+
+def classified(docs: DataFrame, n: int, threshold: float, trees: int, full: int, recall: float, block_docs: int, block_grams: int) -> DataFrame:
+    """The rows of :func:`jaccard_join` with text_key, the hash of their text, and class_key, that of the row after which the class is named."""
     sketch = cut(sketches(docs, n, trees, full), "sketches")
     known = sketch.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    texts = known.groupBy("digest", "text_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_docs"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
-    sets = texts.groupBy("digest").agg(F.min("rep").alias("rep"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
+    texts = known.groupBy("digest", "text_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.count(F.lit(1)).alias("n_docs"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
+    sets = texts.groupBy("digest").agg(F.min("head").alias("head"), F.sum("n_docs").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("grams").alias("grams"), F.first("labels").alias("labels"))
     total = sketch.count()
     held = Held()
-    sets = held(sets, total)
+    sets = held(sets.withColumns({"rep": F.col("head.doc_id"), "rep_key": F.col("head.text_key")}), total)
 
     labels = sets.select("digest", F.posexplode("labels").alias("tree", "label")).select("tree", "label", "digest")
     runs = trie_runs(labels, adapted_depth(full, trees, threshold, recall), held)
     joined = components(runs, runs.count())
     found = joined.count()
-    member = held(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "n_docs", "n_texts", "grams"), found)
+    member = held(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "grams"), found)
     sizes = held(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")), found)
     placed = member.join(sizes, "comp").withColumn("i", F.pmod(F.xxhash64("digest", F.lit(1)), "blocks").cast("int"))
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = pairs.select("digest", "comp", "rep", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
+    pairs = pairs.select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
     pairs = pairs.withColumn("group", F.xxhash64("comp", "lo", "hi"))
-    body = docs.select(F.col("doc_id").alias("rep"), "text").where(may_be_in("rep", member.select("rep")))
-    body = body.join(member.select(F.col("rep").alias("r")).distinct(), F.col("rep") == F.col("r"), "left_semi").dropDuplicates(["rep"])
-    rows = pairs.join(body, "rep").select("group", "comp", "lo", "hi", "i", "blocks", "digest", "n_docs", "n_texts", "text")
+    body = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_key"), "text").where(may_be_in("rep", member.select("rep")))
+    body = body.join(member.select("rep", "rep_key"), ["rep", "rep_key"], "left_semi").dropDuplicates(["rep", "rep_key"])
+    rows = pairs.join(body, ["rep", "rep_key"]).select("group", "comp", "lo", "hi", "i", "blocks", "digest", "n_docs", "n_texts", "text")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         known, out = Hashes(), []
@@ -224,14 +230,14 @@ def jaccard_join(
     verified = held(rows.groupBy("group").applyInPandas(verify, "digest binary, n_links bigint, n_text_links bigint, root binary"))
     counts = verified.groupBy("digest").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("text_links"))
     classes = components(verified.select(F.col("digest").alias("a"), F.col("root").alias("b")).where("a != b"), verified.count())
-    named = held(classes.join(sets.select(F.col("digest").alias("v"), "rep"), "v"), found)
-    ids = held(named.groupBy("comp").agg(F.min("rep").alias("class_id")), found)
-    named = named.join(ids, "comp").select(F.col("v").alias("digest"), "class_id")
+    named = held(classes.join(sets.select(F.col("digest").alias("v"), "head"), "v"), found)
+    ids = held(named.groupBy("comp").agg(F.min("head").alias("class")), found)
+    named = named.join(ids, "comp").select(F.col("v").alias("digest"), "class")
     result = sets.drop("labels").join(counts, "digest", "left").join(named, "digest", "left")
     result = cut(
         result.select(
             F.col("digest").alias("key"),
-            F.coalesce("class_id", "rep").alias("class_id"),
+            F.coalesce("class", "head").alias("class"),
             (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"),
             (F.coalesce("text_links", F.lit(0)) + F.col("n_texts") - 1).alias("n_text_links"),
             (F.col("n_docs") - 1).alias("n_copies"),
@@ -243,26 +249,29 @@ def jaccard_join(
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     usable = F.when(F.col("doc_id").isNotNull(), F.col("digest"))
     final = (
-        sketch.select("doc_id", usable.alias("digest"))
+        sketch.select("doc_id", "text_key", usable.alias("digest"))
         .join(result, F.col("digest") == F.col("key"), "left")
-        .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), zero("n_links"), zero("n_text_links"), zero("n_copies"))
+        .withColumn("class", F.coalesce("class", F.struct("doc_id", "text_key")))
+        .select("doc_id", "text_key", F.col("class.doc_id").alias("class_id"), F.col("class.text_key").alias("class_key"), zero("n_links"), zero("n_text_links"), zero("n_copies"))
     )
     return few_files(final, total)
 
 
-def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int = 20, full: int = 6, recall: float = 0.999, block_docs: int = 96, block_grams: int = 200_000) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class the row with the smallest doc_id stays.
 
     All columns are kept. Rows without doc_id, and texts without words, are in no class and stay, but
-    of rows that repeat a doc_id with the same text one stays.
+    of rows that repeat a doc_id with the same text one stays. Rows that repeat a doc_id with another
+    text are judged each by its text; of those in one class, the one whose text hashes lowest stays.
 
     Only rows that a filter can't clear are shuffled: those to drop, and those that repeat an id.
     """
-    found = jaccard_join(docs, **options).where("doc_id IS NOT NULL")
-    per_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("doc_id") == F.col("class_id")).alias("__stays"), F.count(F.lit(1)).alias("__times"))
-    odd = cut(per_id.where("NOT __stays OR __times > 1"), "dropped")
+    found = classified(docs, n, threshold, trees, full, recall, block_docs, block_grams).where("doc_id IS NOT NULL")
+    stays = (F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
+    per_text = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.min(stays).alias("__stays"), F.count(F.lit(1)).alias("__times"))
+    odd = cut(per_text.where("NOT __stays OR __times > 1"), "dropped")
     touched = may_be_in("doc_id", odd.select("__id"))
-    rest = docs.where(touched).join(odd, F.col("doc_id") == F.col("__id"), "left")
+    rest = docs.where(touched).join(odd, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     once = rest.where("__id IS NULL").select(docs.columns)
     again = rest.where("__stays AND __times > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
     return docs.where(~touched).unionByName(once).unionByName(again)

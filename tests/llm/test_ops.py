@@ -243,6 +243,17 @@ def test_jaccard_hard(hard, none):
     assert forest.jaccard_join(none).count() == 0 and forest.one_of_each(none).count() == 0
 
 
+def test_jaccard_judges_texts_that_share_an_id_each_by_itself(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(3, one), (7, one + " tail"), (7, two), (9, two + " tail"), (5, three), (5, three + " tail"), (5, three + " tail"), (8, three)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = collections.Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in forest.jaccard_join(df).collect())
+    assert got == {(3, 3, 1): 1, (7, 3, 1): 1, (7, 7, 1): 1, (9, 7, 1): 1, (5, 5, 3): 3, (8, 5, 3): 1}
+    kept = [tuple(r) for r in forest.one_of_each(df).collect()]
+    assert sorted(x for x in kept if x[0] != 5) == [(3, one), (7, two)]
+    assert len([x for x in kept if x[0] == 5]) == 1 and len(kept) == 3
+
+
 def test_recall_of_the_adapted_depth():
     d = forest.adapted_depth(6, 20, 0.8, 0.999)
     assert forest.chance(d, 20, 0.8) >= 0.999 > forest.chance(d + 1, 20, 0.8)
