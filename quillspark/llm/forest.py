@@ -206,7 +206,10 @@ def classified(docs: DataFrame, n: int, threshold: float, trees: int, full: int,
     found = joined.count()
     member = held(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "grams"), found)
     sizes = held(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams)).cast("int").alias("blocks")), found)
-    placed = member.join(sizes, "comp").withColumn("i", F.pmod(F.xxhash64("digest", F.lit(1)), "blocks").cast("int"))
+    # Only components of several blocks need their number; a salt of block_docs values deals the members of each out.
+    salted = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(block_docs - 1))))
+    dealt = member.withColumn("salt", F.pmod(F.xxhash64("digest", F.lit(2)), F.lit(block_docs)).cast("int"))
+    placed = dealt.join(salted, ["comp", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("digest", F.lit(1)), "blocks").cast("int"))
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
     pairs = pairs.withColumn("group", F.xxhash64("comp", "lo", "hi"))
