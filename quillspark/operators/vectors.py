@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: So many distances of queries and vectors are in memory at a time.
+CELLS = 1 << 21
+
+
 class TooLong(Exception):
     """What an embedder raises for a text above its limit."""
 
@@ -122,11 +126,13 @@ def search(vectors: DataFrame, query: list[float], k: int | None, key: str = "ve
     return found.orderBy(F.col("distance").asc_nulls_last(), key).limit(k if k and query else 0)
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", slice_mb: int = 32) -> DataFrame:
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int | None, key: str = "vec_id", query: str = "query_id", slice_mb: int = 32) -> DataFrame:
     """The ``k`` nearest of each query: ``query``, rank (from 1), ``key`` and distance, to 6 digits.
 
     ``queries`` has ``query`` and embedding. They go to the executors in slices of ``slice_mb`` at
-    most, and each task returns its own ``k`` best of each, so the vectors are never shuffled.
+    most, and each task returns its own ``k`` best of each, so the vectors are never shuffled. A task
+    holds about ``CELLS`` distances at a time, however many queries and vectors it has. No rows for a
+    ``k`` of 0 or null.
     """
     spark = vectors.sparkSession
     asked = queries.where(F.size("embedding") > 0).select(query, "embedding")
@@ -135,7 +141,7 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     rows = vectors.where(F.size("embedding") > 0).select(key, "embedding")
     kind = dict(vectors.dtypes)[key], dict(queries.dtypes)[query]
     found = spark.createDataFrame([], f"{query} {kind[1]}, {key} {kind[0]}, distance double")
-    for i in range(slices):
+    for i in range(slices if k else 0):
         part = asked.where(F.pmod(F.xxhash64(query), F.lit(slices)) == i).toPandas()
         if not len(part):
             continue
@@ -149,12 +155,18 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
                 ids, v = b.column(0).to_numpy(zero_copy_only=False), np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(float)
                 if v.shape[1] != q.shape[1]:
                     raise ValueError("vectors of different lengths")
-                norm = np.outer(qn, np.linalg.norm(v, axis=1))
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    d = np.where(norm > 0, np.round(1 - (q @ v.T) / norm, 6) + 0.0, np.inf)
-                for j in range(len(names)):
-                    top = np.lexsort((ids, d[j]))[:k]
-                    best[j] = sorted(best[j] + list(zip(d[j][top].tolist(), ids[top].tolist(), strict=True)))[:k]
+                vn = np.linalg.norm(v, axis=1)
+                step = max(1, CELLS // len(v))
+                for at in range(0, len(names), step):
+                    norm = np.outer(qn[at : at + step], vn)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        d = np.where(norm > 0, np.round(1 - (q[at : at + step] @ v.T) / norm, 6) + 0.0, np.inf)
+                    for j, row in enumerate(d, at):
+                        # Ties with the present k-th may still win by a smaller key.
+                        near = np.flatnonzero(row <= best[j][-1][0]) if len(best[j]) == k else np.arange(len(row))
+                        if len(near):
+                            top = near[np.lexsort((ids[near], row[near]))[:k]]
+                            best[j] = sorted(best[j] + list(zip(row[top].tolist(), ids[top].tolist(), strict=True)))[:k]
             n = [len(x) for x in best]
             flat = [x for y in best for x in y]
             if flat:
@@ -162,4 +174,4 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
 
         found = found.unionByName(rows.mapInArrow(run, found.schema))
     order = Window.partitionBy(query).orderBy(F.col("distance").asc_nulls_last(), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", key, "distance")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (k or 0)).select(query, "rank", key, "distance")

@@ -160,7 +160,7 @@ def extract(files: DataFrame, **options: object) -> DataFrame:
     """file_name, text and error of scanned files; of files of one name the last by path counts."""
     from quillspark.operators.documents import latest_by_name
 
-    read = blocks(latest_by_name(files.select("file_name", "file_path", "content"), "file_name", "file_path"), **options)
-    return read.select("file_name", "file_path", render(F.col("blocks")).alias("text"), "error")
-
-
+    read = blocks(files.select("file_name", "file_path", "content"), **options)
+    texts = read.select("file_name", "file_path", render(F.col("blocks")).alias("text"), "error")
+    # After parsing, so that texts are shuffled and never the files.
+    return latest_by_name(texts, "file_name", "file_path")

@@ -126,6 +126,25 @@ def test_search(spark):
     assert [r["vec_id"] for r in V.search_batch(df, queries, 9).orderBy("rank").collect()] == [0, 1, 3, 2]
     plan = V.search(df, [1.0, 0.0], 2)._jdf.queryExecution().toString()
     assert "TakeOrderedAndProject" in plan
+    assert V.search_batch(df, queries, None).count() == 0
+
+
+def test_search_batch_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(V, "CELLS", 50)
+    r = random.Random(3)
+    vectors = [[float(r.randint(-1, 1)) for _ in range(4)] for _ in range(120)]  # many ties, some zero vectors
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id bigint, embedding array<float>").repartition(3)
+    got = V.search_batch(df, df.where("vec_id < 9").selectExpr("vec_id AS query_id", "embedding"), 7)
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+
+    def distance(a, b):
+        return round(1 - sum(x * y for x, y in zip(a, b)) / (norm(a) * norm(b)), 6) + 0.0 if norm(a) * norm(b) else float("inf")
+
+    want = {q: [i for _, i in sorted((distance(vectors[q], v), i) for i, v in enumerate(vectors))[:7]] for q in range(9)}
+    have = {q: [] for q in range(9)}
+    for row in got.orderBy("query_id", "rank").collect():
+        have[row["query_id"]].append(row["vec_id"])
+    assert have == want
 
 
 def test_ask(spark):
