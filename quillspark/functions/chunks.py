@@ -33,9 +33,10 @@ def halved(units: Column, limit: int, rounds: int = ROUNDS) -> Column:
 
 def parts(text: Column, limit: int = BUDGET, tokenize: Callable[[Column], Column] = T.tokens) -> Column:
     """Sentences as struct(part, n): whole where they fit, else pieces of tokens joined by spaces."""
-    one = lambda s: F.array(F.struct(s.alias("part"), F.size(tokenize(s)).alias("n")))
     cut = lambda s: F.transform(halved(tokenize(s), limit), lambda w: F.struct(F.array_join(w, " ").alias("part"), F.size(w).alias("n")))
-    return F.flatten(F.transform(T.sentences(text), lambda s: F.when(F.size(tokenize(s)) > limit, cut(s)).otherwise(one(s))))
+    # Counted in a pass of its own, so that a sentence is taken apart once, not at every use of its length.
+    counted = F.transform(T.sentences(text), lambda s: F.struct(s.alias("part"), F.size(tokenize(s)).alias("n")))
+    return F.flatten(F.transform(counted, lambda x: F.when(x["n"] > limit, cut(x["part"])).otherwise(F.array(x))))
 
 
 def packed(pieces: Column, limit: int = BUDGET) -> Column:
@@ -53,9 +54,9 @@ def packed(pieces: Column, limit: int = BUDGET) -> Column:
             (acc["i"] + 1).alias("i"),
         )
 
-    starts = F.aggregate(pieces, start, step, lambda acc: acc["starts"])
-    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(pieces) + 1))
-    spans = F.arrays_zip(starts.alias("a"), ends.alias("b"))
+    def spans(acc: Column) -> Column:
+        ends = F.concat(F.slice(acc["starts"], F.lit(2), F.greatest(F.size(acc["starts"]) - 1, F.lit(0))), F.array(acc["i"] + 1))
+        return F.arrays_zip(acc["starts"].alias("a"), ends.alias("b"))
 
     def chunk(s: Column) -> Column:
         own = F.slice(pieces, s["a"], s["b"] - s["a"])
@@ -64,7 +65,7 @@ def packed(pieces: Column, limit: int = BUDGET) -> Column:
             F.aggregate(own, F.lit(0), lambda a, p: a + p["n"]).alias("n"),
         )
 
-    return F.when(F.size(pieces) > 0, F.transform(spans, chunk)).otherwise(F.array().cast("array<struct<chunk:string,n:int>>"))
+    return F.when(F.size(pieces) > 0, F.transform(F.aggregate(pieces, start, step, spans), chunk)).otherwise(F.array().cast("array<struct<chunk:string,n:int>>"))
 
 
 #: Separators from the strongest to none.

@@ -15,11 +15,13 @@ PHONE = r"\b\d{10}\b"
 CODE = r"\b[A-Z]{2,}\d+\b"
 TOKEN = r"\w+|[^\w\s]"
 SENTENCE_END = r"([.!?])\s+"
+#: What white space is.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def strip(text: Column) -> Column:
-    """Without blanks and line breaks at both ends; Spark's trim takes spaces only."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without blanks and line breaks at both ends; Spark's trim takes spaces only unless told otherwise."""
+    return F.btrim(text, F.lit(BLANKS))
 
 
 @F.pandas_udf(StringType())
@@ -38,7 +40,8 @@ def clean_ascii(text: Column) -> Column:
     Line breaks collapse before blanks do, so breaks with blanks between them stay.
     """
     t = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
+    # Single spaces stay as they are and need no match.
+    t = F.regexp_replace(t, r"[ \t]{2,}|\t", " ")
     t = F.regexp_replace(t, r"[^\x09\x0A\x0D\x20-\x7E]+", "")
     return strip(t)
 
@@ -50,7 +53,7 @@ def clean_text(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"\s{2,}|[\t\n\x0B\f\r]", " "))
 
 
 def is_blank(text: Column) -> Column:

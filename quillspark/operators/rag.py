@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators import vectors as V
-from quillspark.operators.documents import context
 
 #: What an answer says where the model failed.
 FAILED = "The model gave no answer."
@@ -30,7 +29,9 @@ def ask(questions: DataFrame, store: DataFrame, k: int = 5, make: Callable[[], C
     found = V.search_batch(store, asked.select("query_id", "embedding"), k)
     hits = found.join(store.select("vec_id", "chunk", "metadata"), "vec_id")
     near = F.array_sort(F.collect_list(F.struct("rank", "chunk", "metadata", "distance")))
-    per = hits.groupBy("query_id").agg(near.alias("chunks")).join(context(hits, "query_id", "rank"), "query_id")
+    # The context comes from the collected hits, so that the store is searched once.
+    passages = F.array_join(F.transform("chunks", lambda x: x["chunk"]), "\n\n")
+    per = hits.groupBy("query_id").agg(near.alias("chunks")).withColumn("context", passages)
     rows = asked.select("query_id", "query", "embedding").join(per, "query_id", "left")
     text = F.element_at("chunks", 1)["chunk"]
     if answer is not None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,11 @@ class TooLong(Exception):
     """What an embedder raises for a text above its limit."""
 
 
+@functools.lru_cache(1 << 16)
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
 class HashedWords:
     """The offline default: signed counts of hashed words, scaled to length 1; at most ``limit`` words."""
 
@@ -30,10 +36,8 @@ class HashedWords:
         words = text.lower().split()
         if len(words) > self.limit:
             raise TooLong(len(words))
-        v = np.zeros(self.dims)
-        for w in words:
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-            v[h % self.dims] += 1 if h >> 63 else -1
+        h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+        v = np.bincount((h % np.uint64(self.dims)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), self.dims)
         n = np.linalg.norm(v)
         return (v / n if n else v).tolist()
 
@@ -56,7 +60,8 @@ def embed_words(words: list[str], embedder: Callable[[str], list[float]], depth:
 def embed(chunks: DataFrame, chunk: str = "chunk", make: Callable[[], Callable[[str], list[float]]] = HashedWords) -> DataFrame:
     """``chunks`` with embedding (empty if there is none) and depth (null for blank chunks).
 
-    ``make`` builds the model's client once a task.
+    ``make`` builds the model's client once a task. The function counts as nondeterministic, so that
+    no filter on its result is moved below it, which would call the model twice for each chunk.
     """
 
     @F.pandas_udf("struct<embedding:array<float>,depth:int>")
@@ -66,7 +71,7 @@ def embed(chunks: DataFrame, chunk: str = "chunk", make: Callable[[], Callable[[
             found = [embed_words(t.split(), client) if t and t.strip() else ([], None) for t in texts]
             yield pd.DataFrame({"embedding": [v for v, _ in found], "depth": pd.array([d for _, d in found], "Int32")})
 
-    return chunks.withColumn("__e", run(F.col(chunk))).withColumns({"embedding": F.col("__e.embedding"), "depth": F.col("__e.depth")}).drop("__e")
+    return chunks.withColumn("__e", run.asNondeterministic()(F.col(chunk))).withColumns({"embedding": F.col("__e.embedding"), "depth": F.col("__e.depth")}).drop("__e")
 
 
 def embed_stats(embedded: DataFrame) -> DataFrame:

@@ -194,7 +194,8 @@ def prompts(spark, d):
 
 def ask(spark, d):
     chunks = D.packed_chunks(table(spark, d, "documents"), "doc_id")
-    store = V.storable(V.embed(chunks)).select(F.xxhash64("doc_id", "chunk_index").alias("vec_id"), "chunk", "embedding", F.to_json(F.struct("doc_id", "chunk_index")).alias("metadata"))
+    # Not filtered here: the search takes valid vectors only, and the texts of hits are then read without embedding anything.
+    store = V.embed(chunks).select(F.xxhash64("doc_id", "chunk_index").alias("vec_id"), "chunk", "embedding", F.to_json(F.struct("doc_id", "chunk_index")).alias("metadata"))
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return rag.ask(questions, store, 5).select("query_id", "answer", F.size("chunks").alias("n_hits"), "error")
 
