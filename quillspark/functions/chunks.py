@@ -121,10 +121,14 @@ def windows(text: str | None, size: int = 1200, overlap: int = 150) -> list[str]
 
 
 def char_windows(text: Column, size: int = 1200, overlap: int = 150) -> Column:
-    """Array of windows of each cleaned text; null and empty texts have none."""
+    """Array of windows of each cleaned text; null and empty texts have none.
+
+    The function counts as nondeterministic: else the filter that an explode implies would be moved
+    below it, and every text would be cut twice.
+    """
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: windows(t, size, overlap))
 
-    return cut(text)
+    return cut.asNondeterministic()(text)

@@ -115,6 +115,14 @@ def test_stats_and_store(spark, tmp_path):
     assert store.store_vectors(df, path, once=True)["inserted"] == 0 and spark.read.parquet(path).count() == 2
 
 
+def test_python_runs_once(spark):
+    """Neither an explode nor a filter on the result makes a Python function run again."""
+    docs = spark.createDataFrame([("a", "one two. three")], "file_path string, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(D.char_chunks(docs)).count("ArrowEvalPython") == 2  # normal form and windows
+    assert plan(V.storable(V.embed(docs, "text"))).count("ArrowEvalPython") == 1
+
+
 def test_search(spark):
     rows = [(1, [1.0, 0.0]), (0, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
