@@ -1,7 +1,8 @@
 """Secrets in whole texts: known shapes, and random strings exposed by token efficiency.
 
 A byte-pair vocabulary spends few tokens on words and many on random characters. A string with few
-characters a token that is no known digest or identifier is reported as ``random``.
+characters a token is reported as ``random``, unless it is a digest or an identifier of words that
+themselves take few tokens.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable
+from statistics import median
 
 import pyarrow as pa
 import tiktoken
@@ -33,9 +35,10 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 #: Strings to test: unbroken runs of key characters.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Known digests and identifiers: hexadecimal (also UUIDs), digits, and words joined by signs or capitals.
+#: Known digests and identifiers that are no secrets: hexadecimal (also UUIDs) and digits.
 DIGEST = re.compile(r"[0-9a-fA-F-]+|[0-9A-F-]+")
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]+|[0-9]{1,4})(?:[_/+=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}(?![0-9])))*[_/+=-]*")
+#: What an identifier is made of: words, capitals in a row, numbers.
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 _loaded: dict[str, tiktoken.Encoding] = {}
 
@@ -61,10 +64,18 @@ def order(s: Span) -> tuple[int, int]:
     return s[1], KINDS.index(s[0])
 
 
-def mixed(s: str) -> bool:
-    """Whether letters and digits alternate, as they do in keys: three changes or more between the classes."""
-    classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" for c in s if c.isalnum()]
-    return "d" in classes and ("l" in classes or "u" in classes) and sum(a != b for a, b in zip(classes, classes[1:], strict=False)) >= 5
+def identifier(s: str, coder: tiktoken.Encoding, most: float) -> bool:
+    """Whether a run is words, and numbers of up to 4 digits, whose words have ``most`` characters a token or more.
+
+    Signs and numbers cost a token or more each, so an identifier's own ratio may be low; its words'
+    isn't. They have to reach it together and in the median, so one long word doesn't cover for a key.
+    """
+    pieces = PIECE.findall(s)
+    words = [p for p in pieces if not p.isdigit()]
+    if not words or any(len(p) > 4 for p in pieces if p.isdigit()):
+        return False
+    tokens = [len(coder.encode_ordinary(p)) for p in words]
+    return sum(map(len, words)) >= most * sum(tokens) and median(len(p) / n for p, n in zip(words, tokens, strict=True)) >= most
 
 
 def random_spans(text: str, base: list[Span], coder: tiktoken.Encoding, most: float, piece: int = 2048) -> list[Span]:
@@ -76,11 +87,9 @@ def random_spans(text: str, base: list[Span], coder: tiktoken.Encoding, most: fl
     out = []
     for m in CANDIDATE.finditer(text):
         s, (a, b) = m[0], m.span()
-        if not mixed(s) or DIGEST.fullmatch(s) or (len(s) < 200 and IDENTIFIER.fullmatch(s)):
-            continue
-        if any(a < y and x < b for _, x, y in base):
+        if DIGEST.fullmatch(s) or any(a < y and x < b for _, x, y in base):
             continue
-        if len(s) < most * sum(len(coder.encode_ordinary(s[i : i + piece])) for i in range(0, len(s), piece)):
+        if len(s) < most * sum(len(coder.encode_ordinary(s[i : i + piece])) for i in range(0, len(s), piece)) and not (len(s) < 200 and identifier(s, coder, most)):
             out.append(("random", a, b))
     return out
 

@@ -167,6 +167,18 @@ def test_secrets(texts):
     assert not any(map(hit, ("550e8400-e29b-41d4-a716-446655440000", "getHTTPResponseCode200Handler", "my_long_variable_name_2024_v2", "internationalization of things")))
 
 
+@pytest.mark.parametrize("letters", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_random_keys(letters):
+    """The ratio decides: keys of base32, of one case and of letters only are found; words are not, nor do they cover for a key."""
+    r, coder = random.Random(6), secretscan.vocabulary(secretscan.VOCABULARY)
+    hit = lambda s: bool(secretscan.random_spans(s, [], coder, 2.2))
+    for n in (20, 32):
+        keys = ["".join(r.choice(letters) for _ in range(n)) for _ in range(200)]
+        assert [k for k in keys if not hit(k)] == [k for k in keys if n >= 2.2 * len(coder.encode_ordinary(k))]
+    assert hit("configuration-a1b2c3d4e5f6g7h8") and hit("user_id_7Kq2Lw9ZxR4tYb")
+    assert not any(map(hit, ("Donaudampfschifffahrtsgesellschaft", "MAX_RETRY_COUNT_2_DEFAULT", "AbstractSingletonProxyFactoryBean", "usr/local/lib/python3/dist-packages", "a" * 40 + "B")))
+
+
 @pytest.mark.parametrize("op,n", [(pii.find_pii, 4), (secretscan.find_secrets, 3)])
 def test_scans_of_hard_rows(hard, none, op, n):
     out = op(hard).toPandas()
