@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -95,17 +96,26 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
+DIGITS = frozenset("0123456789")
 ODD = re.compile("[­Ͱ-ϿЀ-ԯ -⁠⁰-₟℀-⅏−①-⓿。﹠-﹯﻿！-～\U0001d400-\U0001d7ff]")
 _NAME = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
 #: Four or more digits by name (or single digits between them), with at most a sign and blanks between.
 NAMES = re.compile(rf"(?i)\b(?:plus[ ,.-]{{0,3}})?{_NAME}(?:(?:[ ,.-]{{1,3}}|[ ,]{{0,2}}\bdot\b[ ,]{{0,2}})(?:{_NAME}|[0-9])){{3,}}\b")
 NAME = re.compile(rf"(?i)plus|dot|{_NAME}|[0-9]")
+#: A digit by name, as a word or beside digits.
+SPOKEN = re.compile(rf"(?i)(?<![^\W\d_]){_NAME}(?![^\W\d_])")
+#: What may stand between the parts of a number.
+BETWEEN = " ,.()-"
+PLUS = re.compile(r"(?i)(?<![^\W\d_])plus[ ,.-]{0,3}(?=\(?[0-9])")
 _DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*|\s+(?:dot|punkt|punto|point)\s+|_dot_)"
 _AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@)\s*[\])}>]\s*|\s+@\s+|_at_)"
-#: What a host in bare words has to end with.
+#: Words after which dot or point is a noun ("at the dot on", "at this point we"), and the endings that count even then.
+_NOUN = "the|an?|this|that|some|any|every|each|one|no|which|what|another|either|same|my|your|his|her|its|our|their|boiling|melting|freezing|breaking|turning|tipping|starting|dew|gun|knife|mid"
 _TOP = "com|org|net|edu|gov|mil|int|info|biz|dev|app|io|ai|me|eu|us|uk|de|fr|es|it|nl|ch|at|be|pt|se|no|dk|fi|pl|cz|ru|cn|jp|kr|in|br|mx|ar|ca|au|nz|za"
-#: An at sign in disguise before a host; a bare word counts only if the last dot is disguised too and a known ending follows.
-AT = re.compile(rf"(?i)(?<=[\w.%+-])(?:{_AT}(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|\s+(?:at|arroba|arobase)\s+(?=[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+){{0,5}}{_DOT}(?:{_TOP})\b))")
+#: A host that is no single noun with dot or point, and has a dot in disguise.
+_HOST = rf"(?!(?:{_NOUN}){_DOT}(?!(?:{_TOP})\b)[A-Za-z0-9-]++(?!(?:\.|{_DOT})[A-Za-z0-9]))[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+{_DOT}[A-Za-z0-9]"
+#: An at sign in disguise before a host; a bare word counts only if a dot of the host is disguised too.
+AT = re.compile(rf"(?i)(?<=[\w.%+-])(?:{_AT}(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|\s+(?:at|arroba|arobase)\s+(?={_HOST}))")
 DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9]){_DOT}(?=[A-Za-z0-9])")
 #: What AT and DOT need; tells most texts apart cheaply.
 HINT = re.compile(r"(?i)\b(?:dot|punkt|punto|point)\b|_dot_|[\[({<]\s*(?:at|arroba|arobase|@|\.)\s*[\])}>]|\s@\s|_at_")
@@ -163,6 +173,50 @@ def numbers(tape: Tape) -> None:
     tape.rewrite(edits)
 
 
+def spoken(text: str) -> list[tuple[int, int, str]]:
+    """Edits for every digit by name that adjoins digits or other names of digits, and for what stands between.
+
+    Blanks, commas and hyphens between two names go, so that they form one number; beside digits a
+    blank or hyphen stays, so that separate numbers do. Dots and brackets stay.
+    """
+    found = [m for m in SPOKEN.finditer(text) if m[0].lower() in SPELLED]
+    joins = []
+    for m, after in zip([None, *found], [*found, None], strict=True):
+        a, b = m.end() if m else 0, after.start() if after else len(text)
+        left, right = a, b
+        while m and left < b and text[left] in BETWEEN:
+            left += 1
+        if left == b and m and after:
+            joins.append((b, b))
+            continue
+        while after and right > left and text[right - 1] in BETWEEN:
+            right -= 1
+        joins.append((left if m and left < b and text[left] in DIGITS else None, right if after and right > a and text[right - 1] in DIGITS else None))
+    edits = []
+    for i, m in enumerate(found):
+        before, behind = joins[i][1], joins[i + 1][0]
+        if before is None and behind is None:
+            continue
+        a, b = m.span()
+        if before is not None and before < a:
+            edits.append((before, a, between(text[before:a], False)))
+        edits.append((a, b, SPELLED[m[0].lower()]))
+        if behind is not None and behind > b:
+            edits.append((b, behind, between(text[b:behind], i + 1 < len(found) and behind == found[i + 1].start())))
+    return edits
+
+
+def partly_spoken(tape: Tape) -> None:
+    tape.rewrite(spoken(tape.text))
+    tape.rewrite([(*m.span(), "+") for m in PLUS.finditer(tape.text)])
+
+
+def between(gap: str, names: bool) -> str:
+    if any(c in gap for c in ".()"):
+        return gap.replace(",", "")
+    return "" if names else "-" if "-" in gap else " "
+
+
 def signs(tape: Tape) -> None:
     tape.rewrite([(*m.span(), "@") for m in AT.finditer(tape.text)])
     tape.rewrite([(*m.span(), ".") for m in DOT.finditer(tape.text)])
@@ -173,21 +227,26 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if not text:
         return []
     odd = not text.isascii() and ODD.search(text)
-    if not (odd or HINT.search(text) or NAMES.search(text)):
+    if not (odd or HINT.search(text) or PLUS.search(text) or spoken(text)):
         return []
-    tape = Tape(text)
-    if odd:
-        glyphs(tape)
-    numbers(tape)
-    signs(tape)
-    out, taken = [], {k: [s for s in base if s[0] == k] for k in KINDS}
-    for kind, a, b in base_spans(tape.text):
-        if not any(tape.new[a:b]):
-            continue
-        span = (kind, tape.start[a], tape.end[b - 1])
-        if all(span[2] <= x[1] or x[2] <= span[1] for x in taken[kind]):
-            taken[kind].append(span)
-            out.append(span)
+    # Disjoint in each kind, so sorted by start and by end alike.
+    out, taken = [], {k: sorted(s[1:] for s in base if s[0] == k) for k in KINDS}
+    # Numbers as they are written, or else runs of names with all signs between them left out.
+    for steps in ((signs, partly_spoken), (numbers, signs)):
+        tape = Tape(text)
+        if odd:
+            glyphs(tape)
+        for step in steps:
+            step(tape)
+        for kind, a, b in base_spans(tape.text):
+            if not any(tape.new[a:b]):
+                continue
+            start, end = tape.start[a], tape.end[b - 1]
+            have = taken[kind]
+            at = bisect_left(have, (start, end))
+            if (at == 0 or have[at - 1][1] <= start) and (at == len(have) or end <= have[at][0]):
+                have.insert(at, (start, end))
+                out.append((kind, start, end))
     return out
 
 
@@ -218,8 +277,13 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     n_phone), base_sha256 of the plain spans, spans (all, written ``kind:start:end``), n_added (the
     disguised ones) and found (all spans as an array). Offsets are code points, the end exclusive.
     A null text counts as empty: no spans. Rows are independent, so repeats and nulls in other
-    columns change nothing, and other columns are not read. Matching takes time in proportion to
-    the text, except that a disguised text is compared with its own spans.
+    columns change nothing, and other columns are not read.
+
+    Limits: digits by name are those of ``SPELLED``, each a word or beside digits ("fivefive" is none).
+    Plain spans keep their extent: of '+1 743 555 38 two four' the plain part is the span. A digit by
+    name that follows a disguised number counts as its part. After a bare "at", a host needs a
+    disguised dot; after a noun's word (``_NOUN``: "at the dot on") as its only label, one of the
+    endings in ``_TOP`` too.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     fields = [(f"n_{k}", "bigint", pa.int64()) for k in KINDS]

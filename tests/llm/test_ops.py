@@ -149,6 +149,17 @@ def test_pii_disguises():
         assert pii.added_spans(clean, pii.base_spans(clean)) == []
 
 
+def test_pii_partly_disguised():
+    added = lambda x: [x[a:b] for _, a, b in pii.added_spans(x, pii.base_spans(x))]
+    numbers = ("4111 1111 1111 11 one one", "4111-1111-one111-1111", "192.168.one.one", "10.0.zero.one", "+1 seven four three 555 3824", "plus one 743 555 3824", "plus 1 743 555 3824", "+49 (one seven six) 1234567")
+    hosts = ("ann at startup dot co", "ann at mail dot example dot xyz", "ann at mail dot example dot ie", "ann at mail dot example dot online", "ann at mail dot example.com", "ann at one dot com")
+    for x in numbers + hosts:
+        assert added(x) == [x] and added(f"In 2024 it was {x}, she said.") == [x], x
+    for clean in ("le 12 sept 2024 un 3", "arrived at some point on Monday", "12 of 34 one 5 at six", "call +1 743 555 3824 one of these days", "\u017fix one 3"):
+        assert added(clean) == [], clean
+    assert len(added("a at b dot c, " * 20_000)) == 20_000
+
+
 def plain_secrets(text):
     out = [("assign", *m.span()) for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
