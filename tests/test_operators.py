@@ -1,9 +1,11 @@
 """Hand-written cases of the engine's own operators."""
 
+import collections
 import io
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,6 +139,21 @@ def test_search(spark):
     assert V.search_batch(df, queries, None).count() == 0
 
 
+def test_search_batch_in_slices(spark):
+    """All rows whose id is divisible by 50 as queries, 300 times over, so that they go out in two slices."""
+    r = np.random.RandomState(4)
+    vectors = r.standard_normal((500, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    queries = df.where("vec_id % 50 = 0").crossJoin(spark.range(300)).selectExpr("vec_id * 1000 + id AS query_id", "embedding")
+    have = collections.defaultdict(list)
+    for row in V.search_batch(df, queries, 5, slice_mb=1).orderBy("query_id", "rank").collect():
+        have[row["query_id"]].append(row["vec_id"])
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    d = np.round(1 - unit[::50] @ unit.T, 6)
+    want = {i * 50: np.lexsort((np.arange(500), d[i]))[:5].tolist() for i in range(10)}
+    assert have == {q * 1000 + j: v for q, v in want.items() for j in range(300)}
+
+
 def test_search_batch_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(V, "CELLS", 50)
     r = random.Random(3)
