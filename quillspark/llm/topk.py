@@ -8,6 +8,7 @@ The k-th result is carried from block to block, so later blocks stop sooner.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,14 @@ class Best:
             score, ids = score[use], ids[use]
         if len(score):
             score, ids = np.concatenate([self.score[q], score]), np.concatenate([self.id[q], ids])
-            top = np.lexsort((ids, -score))[: self.k]
-            self.score[q], self.id[q] = score[top], ids[top]
+            if score.dtype == object:
+                top = sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[: self.k]
+            else:
+                top = np.lexsort((ids, -score))[: self.k]
+            score = score[top]
+            if score.dtype == object and all(-(1 << 63) < x < 1 << 63 for x in score):
+                score = score.astype(np.int64)
+            self.score[q], self.id[q] = score, ids[top]
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best, where: np.ndarray) -> int:
@@ -74,17 +81,60 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     return done
 
 
-def whole(vector: F.Column) -> F.Column:
-    """floor(256 x) of every component, as long; null where a component is null or not finite."""
+def search_large(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, best: Best, where: np.ndarray) -> None:
+    """As ``search_block``, in Python's integers, for components of any size.
+
+    Scores in floating point, with a bound of their error, first tell which can be among the k best.
+    """
+    rough = vectors.astype(float)
+    for q, own, at in zip(queries, query_ids, where, strict=True):
+        other = np.flatnonzero(ids != own)
+        with np.errstate(over="ignore", invalid="ignore"):
+            near, far = rough[other] @ q.astype(float), np.abs(rough[other]) @ np.abs(q.astype(float)) * (len(q) + 4) * 2.0**-51
+            least, most = near - far, near + far
+        if len(other) > best.k and np.isfinite(least).all():
+            other = other[most >= np.partition(least, -best.k)[-best.k]]
+        mine = [int(x) for x in q]
+        score = np.array([sum(x * int(y) for x, y in zip(mine, vectors[i], strict=True)) for i in other] + [None], object)[:-1]
+        best.add(at, score, ids[other])
+
+
+def finite(vector: F.Column) -> F.Column:
+    """The components as doubles; null where one is null or not finite."""
     x = lambda v: v.cast("double")
     fine = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(x(v)) & (F.abs(x(v)) < float("inf")))
-    return F.when(vector.isNotNull() & fine, F.transform(vector, lambda v: F.floor(x(v) * F.lit(256.0)).cast("long")))
+    return F.when(vector.isNotNull() & fine, F.transform(vector, x))
+
+
+def whole(vectors: np.ndarray) -> np.ndarray:
+    """floor(256 x) of every component: as int64, or as Python's integers if one has 2^45 or more."""
+    if np.abs(vectors).max(initial=0) < 2.0**45:
+        return np.floor(vectors * 256.0).astype(np.int64)
+    # From 2^53 on doubles are integers.
+    large = [int(x) * 256 if abs(x) >= 2.0**53 else math.floor(x * 256.0) for x in vectors.ravel().tolist()]
+    return np.array([*large, None], object)[:-1].reshape(vectors.shape)
+
+
+def _grouped(ids: np.ndarray, vectors: list) -> dict[int, list[tuple[bool, np.ndarray, np.ndarray]]]:
+    """Rows by number of dimensions, those with small components and the others: whether large, ids, vectors.
+
+    The inner product of two small ones fits in 63 bits.
+    """
+    sizes, out = np.fromiter(map(len, vectors), np.int64, len(vectors)), {}
+    for d in map(int, np.unique(sizes)):
+        of = np.flatnonzero(sizes == d)
+        rows = np.array([vectors[i] for i in of], float).reshape(len(of), d)
+        large = np.abs(rows).max(axis=1, initial=0) >= math.isqrt((1 << 62) // max(d, 1)) // 256 - 1
+        out[d] = [(bool(x), ids[of[large == x]], whole(rows[large == x])) for x in (False, True) if (large == x).any()]
+    return out
 
 
-def _grouped(ids: np.ndarray, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Rows by number of dimensions, as arrays."""
-    sizes = np.fromiter(map(len, vectors), np.int64, len(vectors))
-    return {int(d): (ids[sizes == d], np.array([v for v in vectors if len(v) == d], np.int64).reshape(int((sizes == d).sum()), int(d))) for d in np.unique(sizes)}
+def fitting(score: np.ndarray) -> list[int | None]:
+    """Scores for a bigint column; null if below it. One above it is among the results for certain, so it is an error."""
+    out = [int(x) for x in score]
+    if max(out) >= 1 << 63:
+        raise ValueError("a score among the results doesn't fit in a bigint")
+    return [x if x >= -(1 << 63) else None for x in out]
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, queries_mb: int = 32) -> DataFrame:
@@ -94,14 +144,14 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, queries_mb: int = 32)
     and score, the inner product of the vectors after floor(256 x); ties go to the smaller id. A
     query with fewer candidates gets all of them. Vectors that are null or hold a null or non-finite
     component, and rows without id, take no part; vectors of different lengths never meet. Rows
-    that repeat an id are one candidate each, except for the query of that id. Components have to
-    stay under 2^23 in absolute value for exact sums; a larger one raises an error.
+    that repeat an id are one candidate each, except for the query of that id. Scores are exact for
+    components of any size; only a score in the result that doesn't fit in a bigint raises an error.
 
     The queries go to the executors in slices of at most ``queries_mb``, each slice against all
     candidates, so no broadcast grows with the data. A task returns its k best of each query.
     """
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", whole(F.col("embedding")).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
+    rows = vectors.select("vec_id", finite(F.col("embedding")).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     asked = rows.where(F.col("vec_id") % every == 0)
     cells = asked.agg(F.sum(F.size("v") + 2)).first()[0] or 0
     slices = max(1, -(-cells * 8 // (queries_mb << 20)))
@@ -113,20 +163,21 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, queries_mb: int = 32)
         sent = spark.sparkContext.broadcast(_grouped(part["vec_id"].to_numpy(np.int64), list(part["v"])))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            groups, first, best = sent.value, {}, Best(sum(len(x[0]) for x in sent.value.values()), k)
-            at = 0
-            for d, (own, _) in groups.items():
-                first[d] = at
-                at += len(own)
+            groups = sent.value
+            owner = np.concatenate([own for parts in groups.values() for _, own, _ in parts])
+            best, first, at = Best(len(owner), k), {}, 0
+            for d, parts in groups.items():
+                for large, own, _ in parts:
+                    first[d, large] = at
+                    at += len(own)
             held_ids, held = [], []
 
             def flush() -> None:
-                for d, (ids, block) in _grouped(np.array(held_ids, np.int64), held).items():
-                    if d in groups:
-                        own, asked = groups[d]
-                        if max(np.abs(block).max(initial=0), np.abs(asked).max(initial=0)) >= 1 << 23:
-                            raise ValueError("components have to be under 2^23 for exact sums")
-                        search_block(asked, own, block, ids, best, np.arange(first[d], first[d] + len(own)))
+                for d, blocks in _grouped(np.array(held_ids, np.int64), held).items():
+                    for big, ids, block in blocks:
+                        for large, own, asked in groups.get(d, []):
+                            search = search_large if big or large else search_block
+                            search(asked, own, block, ids, best, np.arange(first[d, large], first[d, large] + len(own)))
                 held_ids.clear()
                 held.clear()
 
@@ -137,19 +188,20 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, queries_mb: int = 32)
                     flush()
             if held:
                 flush()
-            for d, (own, _) in groups.items():
-                n = [len(best.id[first[d] + i]) for i in range(len(own))]
+            for at in range(0, len(owner), BLOCK):
+                span = range(at, min(at + BLOCK, len(owner)))
+                n = [len(best.id[i]) for i in span]
                 if sum(n):
-                    span = range(first[d], first[d] + len(own))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(own, n)), pa.array(np.concatenate([best.id[i] for i in span])), pa.array(np.concatenate([best.score[i] for i in span]))],
+                        [pa.array(np.repeat(owner[at : at + BLOCK], n)), pa.array(np.concatenate([best.id[i] for i in span])), pa.array(fitting(np.concatenate([best.score[i] for i in span])), pa.int64())],
                         names=["query_id", "vec_id", "score"],
                     )
 
         each = rows.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "vec_id")
         ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found = ranked if found is None else found.unionByName(ranked)
     if found is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    return found.select("query_id", "rank", "vec_id", "score")
+    low = F.raise_error(F.lit("a score among the results doesn't fit in a bigint")).cast("bigint")
+    return found.select("query_id", "rank", "vec_id", F.when(F.col("score").isNull(), low).otherwise(F.col("score")).alias("score"))

@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -198,6 +200,22 @@ def test_scans_of_hard_rows(hard, none, op, n):
     assert op(hard).columns[1:n] == [f"n_{k}" for k in (pii.KINDS if n == 4 else secretscan.KINDS)][: n - 1]
 
 
+def test_topk_large_components(spark):
+    """Components of 2^15 and far more, beside ordinary ones, against Python's integers."""
+    r = np.random.RandomState(7)
+    rows = [(i, r.standard_normal(8).tolist()) for i in range(300)]
+    rows += [(300 + i, (r.standard_normal(8) * 2.0 ** (15 + i % 6)).tolist()) for i in range(40)]
+    rows += [(400, [2.0**22] + [0.0] * 7), (401, [0.0] * 7 + [-(2.0**56)]), (402, [-(2.0**22)] + [1.0] * 7)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    rows = [(i, v[:7] + [0.0]) if i % 50 == 0 else (i, v) for i, v in rows]
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    got = collections.defaultdict(list)
+    for x in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3), k=4).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((-x["score"], x["vec_id"]))
+    want = {q: sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4] for q in whole if q % 50 == 0}
+    assert got == want and len(want) == 8
+
+
 def test_topk_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (50, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [1.0]), (None, [1.0, 1.0]), (7, []), (2, [1.0, 0.0]), (100, [0.0, 0.0])]
