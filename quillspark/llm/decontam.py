@@ -7,6 +7,8 @@ around each hit the two word sequences are compared position by position.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +21,9 @@ from quillspark.llm.common import WORD, keep_text
 #: Any 10 words of which any 2 are substituted hold a seed of one of these masks.
 MASKS = ("1111", "11011", "1101001", "110011")
 
+#: Windows up to this many words have masks of their own, since those above miss some of their substitutions.
+SHORT = 5
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,22 +41,30 @@ def seed_keys(words: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     return at, h
 
 
+def short_masks(words: int, least: float) -> list[str]:
+    """All masks of so many words whose ones are as many as have to agree."""
+    ones = min(words, max(1, math.ceil(least * words - 1e-9)))
+    return ["".join("1" if i in use else "0" for i in range(words)) for use in itertools.combinations(range(words), ones)]
+
+
 class Index:
     """Words and seeds of test items."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...]) -> None:
-        self.masks, self.words, self.ids, self.items = masks, {}, [], []
-        found: list[list] = [[] for _ in masks]
+    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...], window: int = 10, least: float = 0.8) -> None:
+        self.words, self.ids, self.items = {}, [], []
+        found: dict[str, list] = {mask: [] for mask in masks}
         for item_id, text in items:
             tokens = WORD.findall((text or "").lower())
             own = np.fromiter((self.words.setdefault(w, len(self.words) + 1) for w in tokens), np.int64, len(tokens))
-            for k, mask in enumerate(masks):
+            size = min(window, len(own))
+            more = short_masks(size, least) if len(own) > 1 and size <= SHORT else []
+            for mask in dict.fromkeys([*masks, *more]):
                 at, keys = seed_keys(own, mask)
-                found[k].append((keys, np.full(len(at), len(self.items)), at))
+                found.setdefault(mask, []).append((keys, np.full(len(at), len(self.items)), at))
             self.ids.append(item_id)
             self.items.append(own)
-        self.seeds = []
-        for parts in found:
+        self.masks, self.seeds = tuple(found), []
+        for parts in found.values():
             keys = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
             order = np.argsort(keys, kind="stable")
             self.seeds.append((keys[order], *(np.concatenate([p[i] for p in parts])[order] if parts else np.empty(0, np.int64) for i in (1, 2))))
@@ -98,14 +111,14 @@ class Index:
         return best
 
 
-def slices_of(benchmark: DataFrame, masks: tuple[str, ...], slice_mb: int) -> Iterator:
+def slices_of(benchmark: DataFrame, masks: tuple[str, ...], slice_mb: int, window: int, least: float) -> Iterator:
     """Broadcast indexes of the benchmark, each of at most about ``slice_mb`` of text."""
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     for i in range(n := -(-total // (slice_mb << 20))):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
         part.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], masks))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in part], masks, window, least))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
@@ -114,8 +127,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
     One row for each row of ``docs`` and item that share ``window`` consecutive positions (or the
     whole item, if shorter) of which the share ``least`` agrees: doc_id, item_id, first_word,
     end_word (of the text, end exclusive), n_words, n_same. Words are runs of letters and digits in
-    lower case. Items of fewer than four words hold no seed and match nothing. Null texts hold
-    nothing; null ids are passed on; rows that repeat are reported each; an empty benchmark or
+    lower case. Windows and items of up to five words are found by masks of their own, except that
+    an item of one word matches nothing, as it would match that word anywhere. Null texts hold nothing; null ids are passed on; rows that repeat are reported each; an empty benchmark or
     table gives no rows. Other columns are not read.
 
     The benchmark goes to the executors in slices of at most about ``slice_mb`` of text, with one
@@ -123,7 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
     """
     schema = "doc_id bigint, item_id bigint, first_word int, end_word int, n_words int, n_same int"
     found = docs.sparkSession.createDataFrame([], schema)
-    for sent in slices_of(benchmark, masks, slice_mb):
+    for sent in slices_of(benchmark, masks, slice_mb, window, least):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
@@ -141,6 +154,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
     """The rows of ``docs`` that have no overlap in the sense of :func:`contaminated`, with all their columns."""
-    for sent in slices_of(benchmark, masks, slice_mb):
+    for sent in slices_of(benchmark, masks, slice_mb, window, least):
         docs = keep_text(docs, lambda sent=sent: lambda texts: [not (t and sent.value.overlaps(t, window, least)) for t in texts])
     return docs

@@ -99,6 +99,17 @@ def test_masks_find_every_ten_words_with_two_substituted():
             assert item.overlaps(text, 10, 0.8)
 
 
+@pytest.mark.parametrize("least", [0.5, 0.8, 1.0])
+@pytest.mark.parametrize("n", [2, 3, 4, 5])
+def test_decontamination_of_short_items(n, least):
+    """Items of two to five words with every set of words substituted, against all alignments."""
+    own = [f"w{i}" for i in range(n)]
+    index = decontam.Index([(1, " ".join(own))], decontam.MASKS, 10, least)
+    for bits in range(1 << n):
+        words = ["a", *("zz" if bits >> i & 1 else w for i, w in enumerate(own)), "b"]
+        assert bool(index.overlaps(" ".join(words), 10, least)) == plain_overlap(own, words, 10, least), words
+
+
 def test_decontamination_cases(spark, hard, none):
     bench = spark.createDataFrame([(1, "one two three four five six"), (2, None), (3, "one"), (None, "x y z w q")], "item_id bigint, text string")
     got = [(r["doc_id"], r["item_id"], r["n_same"]) for r in decontam.contaminated(hard, bench).collect()]
