@@ -24,6 +24,8 @@ OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 4096
 #: Blocks up to this length are encoded at a higher level.
 SHORT = 600
+#: Long training texts are sampled at so many places.
+PIECES = 16
 #: Follows every block. It costs a few bytes whatever the dictionary, and keeps the encoder from storing short blocks as they are.
 PAD = bytes(256)
 
@@ -41,11 +43,17 @@ def letters(text: str) -> str:
     return OTHER.sub(" ", text.lower()).strip()
 
 
+def spread(pieces: list[str], most: int) -> str:
+    """Up to ``most`` characters of a text, by :func:`letters`, in equal parts from the start of each of its pieces."""
+    return " ".join(letters(x)[: most // len(pieces)] for x in pieces)
+
+
 def train(rows: DataFrame, texts_each: int = 96, bytes_each: int = 98_304) -> Languages:
     """Fits dictionaries to ``rows`` (doc_id, text, lang).
 
     A bounded sample: of each language, the ``texts_each`` texts whose ids hash lowest, up to
-    ``bytes_each`` bytes in all. Rows whose lang is null or whose text has no letter don't count.
+    ``bytes_each`` bytes in all, and of each text an eighth of that in characters at most. Of a
+    longer text, these are passages from ``PIECES`` places spread evenly from its start to its end. Rows whose lang is null or whose text has no letter don't count.
     The window keeps that many rows of a language in each task before anything is shuffled.
     """
     use = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
@@ -53,10 +61,15 @@ def train(rows: DataFrame, texts_each: int = 96, bytes_each: int = 98_304) -> La
     picked = use.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= texts_each)
     counts = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts: dict[str, list] = {}
-    # F.left bounds what reaches the driver: a dictionary holds no more than bytes_each anyway.
-    for r in picked.select("lang", "rank", F.expr(f"left(text, {bytes_each})").alias("text")).toLocalIterator():
+    # What reaches the driver is bounded: a dictionary holds no more than bytes_each anyway.
+    most, length = bytes_each // 8, F.length("text")
+    size = F.least(F.ceil(length / PIECES), F.lit(bytes_each // PIECES)).cast("int")
+    at = F.sequence(F.lit(0), F.lit(PIECES - 1))
+    passage = lambda i: F.substring(F.col("text"), F.floor(length * i / PIECES).cast("int") + 1, size)
+    pieces = F.when(length <= most, F.array("text")).otherwise(F.transform(at, passage))
+    for r in picked.select("lang", "rank", pieces.alias("pieces")).toLocalIterator():
         # No text may fill a dictionary by itself.
-        parts.setdefault(r["lang"], []).append((r["rank"], letters(r["text"])[: bytes_each // 8]))
+        parts.setdefault(r["lang"], []).append((r["rank"], spread(r["pieces"], most)))
     names = sorted(parts, key=lambda x: (-counts[x], x))
     return fit(names, [[x for _, x in sorted(parts[name])] for name in names], bytes_each)
 

@@ -67,6 +67,18 @@ def test_language(spark, hard, none):
     assert {r["best_lang"] for r in langid.identify(hard, langid.train(none)).collect()} == {"und"}
 
 
+def test_training_reads_whole_texts(spark):
+    """A long text teaches its middle and end too; a short one teaches all."""
+    part = lambda w, n: " ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(n))
+    long = " ".join(part(w, 8000) for w in ("start", "middle", "finish"))
+    rows = [(1, long, "aa"), (2, part("brief", 100), "bb"), (3, part("first", 1000) + " " + part("last", 1000), "cc")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    found = dict(zip(model.names, model.dictionaries))
+    assert all(w in found["aa"] for w in (b"start", b"middle", b"finish")) and found["bb"].count(b"brief") == 100
+    assert found["cc"].count(b"first") > 800 and found["cc"].count(b"last") > 800
+    assert len(found["aa"]) <= 98_304 // 8 + langid.PIECES
+
+
 def plain_overlap(own, words, window, least):
     """Whether some diagonal has a window that agrees enough."""
     w = min(window, len(own))
