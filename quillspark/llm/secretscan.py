@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 from statistics import median
 
 import pyarrow as pa
@@ -33,8 +35,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Fixed value: the published split pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Strings to test: unbroken runs of key characters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Strings to test: unbroken runs of key characters, long enough.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Known digests and identifiers that are no secrets: hexadecimal (also UUIDs) and digits.
 DIGEST = re.compile(r"[0-9a-fA-F-]+|[0-9A-F-]+")
 #: What an identifier is made of: words, capitals in a row, numbers.
@@ -78,18 +80,19 @@ def identifier(s: str, coder: tiktoken.Encoding, most: float) -> bool:
     return sum(map(len, words)) >= most * sum(tokens) and median(len(p) / n for p, n in zip(words, tokens, strict=True)) >= most
 
 
-def random_spans(text: str, base: list[Span], coder: tiktoken.Encoding, most: float, piece: int = 2048) -> list[Span]:
-    """Strings with fewer than ``most`` characters a token, outside the base spans.
-
-    A very long run is encoded in pieces of ``piece`` characters, since encoding a piece can take
-    time with the square of its length; its ratio is that of all its pieces.
-    """
-    out = []
+def random_spans(text: str, base: list[Span], coder: tiktoken.Encoding, most: float, shortest: int = 20) -> list[Span]:
+    """Runs of at least ``shortest`` characters with fewer than ``most`` characters a token, outside the base spans."""
+    out, taken = [], sorted(s[1:] for s in base)
+    starts = list(accumulate((b for _, b in taken), max))
     for m in CANDIDATE.finditer(text):
         s, (a, b) = m[0], m.span()
-        if DIGEST.fullmatch(s) or any(a < y and x < b for _, x, y in base):
+        if len(s) < shortest or DIGEST.fullmatch(s):
+            continue
+        # The first base span that may end after this run's start is the only one to start before its end, if any does.
+        i = bisect_right(starts, a)
+        if i < len(taken) and taken[i][0] < b:
             continue
-        if len(s) < most * sum(len(coder.encode_ordinary(s[i : i + piece])) for i in range(0, len(s), piece)) and not (len(s) < 200 and identifier(s, coder, most)):
+        if len(s) < most * len(coder.encode_ordinary(s)) and not identifier(s, coder, most):
             out.append(("random", a, b))
     return out
 
@@ -98,11 +101,11 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def scanner(path: str, most: float) -> Callable[[list], list[list]]:
+def scanner(path: str, most: float, shortest: int) -> Callable[[list], list[list]]:
     def one(text: str | None) -> tuple:
         text = text or ""
         base = base_spans(text)
-        more = random_spans(text, base, vocabulary(path), most)
+        more = random_spans(text, base, vocabulary(path), most, shortest)
         every = sorted(base + more, key=order) if more else base
         counts = [sum(s[0] == k for s in base) for k in KINDS[:3]]
         return *counts, hashlib.sha256(written(base).encode()).hexdigest(), written(every), len(more), [{"kind": k, "start": a, "end": b} for k, a, b in every]
@@ -114,18 +117,24 @@ def scanner(path: str, most: float) -> Callable[[list], list[list]]:
     return work
 
 
-def find_secrets(docs: DataFrame, path: str = VOCABULARY, most: float = 2.2, keep: list[str] | None = None) -> DataFrame:
+def find_secrets(docs: DataFrame, path: str = VOCABULARY, most: float = 2.2, shortest: int = 20, keep: list[str] | None = None) -> DataFrame:
     """Secrets of every whole text, one row for each row of ``docs``.
 
     Returns ``keep`` (doc_id), the number of spans of each known shape (n_assign, n_access, n_hex),
     base_sha256 of those, spans (all, written ``kind:start:end``), n_random (strings of fewer than
     ``most`` characters a token) and found (all spans as an array). Offsets are code points, the end
-    exclusive. A null text counts as empty: no spans. Rows are independent, so repeats and nulls in
-    other columns change nothing, and other columns are not read. ``path`` names the vocabulary's
-    file; every executor has to have it.
+    exclusive. ``path`` names the vocabulary's file; every executor has to have it.
+
+    ``most`` and ``shortest`` decide what counts as random: below ``shortest`` characters a ratio says
+    little, so shorter strings are left to the known shapes. Digests (hexadecimal, UUIDs), numbers,
+    and identifiers whose words take few tokens are left out, however long they are.
+
+    A null text counts as empty: no spans. Rows are independent, so repeats, ties and nulls in other
+    columns change nothing, and other columns are not read. An empty table gives an empty one. Time
+    grows with the length of a text, for runs without a blank too: nothing in it backtracks.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     fields = [(f"n_{k}", "bigint", pa.int64()) for k in KINDS[:3]]
     fields += [("base_sha256", "string", pa.string()), ("spans", "string", pa.string()), ("n_random", "bigint", pa.int64())]
     fields += [("found", "array<struct<kind:string,start:int,end:int>>", kind)]
-    return map_text(docs, keep or ["doc_id"], lambda: scanner(path, most), fields)
+    return map_text(docs, keep or ["doc_id"], lambda: scanner(path, most, shortest), fields)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -215,6 +216,37 @@ def test_random_keys(letters):
     assert not any(map(hit, ("Donaudampfschifffahrtsgesellschaft", "MAX_RETRY_COUNT_2_DEFAULT", "AbstractSingletonProxyFactoryBean", "usr/local/lib/python3/dist-packages", "a" * 40 + "B")))
 
 
+def test_hostile_runs_take_linear_time():
+    """Runs that look like identifiers for long, of 20 to 100,000 characters."""
+    coder, r = secretscan.vocabulary(secretscan.VOCABULARY), random.Random(8)
+    start = time.perf_counter()
+    for n in [*range(20, 120)] * 90 + [1000] * 900 + [10_000] * 90 + [100_000] * 9:
+        tail = "".join(r.choice(["1y2z3w4v5", "A1b", "_", "-x9"]) for _ in range(3))
+        secretscan.random_spans("x" * (n - len(tail)) + tail, [], coder, 2.2)
+    assert time.perf_counter() - start < 60
+    for n in (50, 199, 200, 5000):
+        assert not secretscan.random_spans("_".join(["value", "name", "count"] * n), [], coder, 2.2)
+
+
+def test_added_secrets_equal_a_plain_rule(texts):
+    """Every run of key characters, tested by itself against all base spans."""
+    coder, r = secretscan.vocabulary(secretscan.VOCABULARY), random.Random(12)
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz234567") for _ in range(r.randint(10, 40)))
+    made = [" ".join(r.choice([key, lambda: "some words here", lambda: "password=" + key(), lambda: "0a" * 14, lambda: "AKIA" + "Q7" * 9])() for _ in range(30)) for _ in range(60)]
+    found = 0
+    for t in [*texts.values(), *made]:
+        base = plain_secrets(t)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
+            s = m[0]
+            known = re.fullmatch("[0-9a-fA-F-]+", s) or any(x < m.end() and m.start() < y for _, x, y in base)
+            if len(s) >= 20 and not known and len(s) / len(coder.encode_ordinary(s)) < 2.2 and not secretscan.identifier(s, coder, 2.2):
+                want.append(("random", *m.span()))
+        assert secretscan.random_spans(t, base, coder, 2.2) == want
+        found += len(want)
+    assert found > 200
+
+
 @pytest.mark.parametrize("op,n", [(pii.find_pii, 4), (secretscan.find_secrets, 3)])
 def test_scans_of_hard_rows(hard, none, op, n):
     out = op(hard).toPandas()
