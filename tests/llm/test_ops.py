@@ -280,6 +280,26 @@ def test_topk_cases(spark):
     assert len(got) == 9 and topk.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_repeated_query_ids(spark):
+    """Each row with a query's id is a query of its own; none of them is a candidate for the others."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.5]), (3, [0.25, 0.25])]
+    got = collections.Counter(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=2).collect())
+    assert got == {(50, 1, 1, 32768): 2, (50, 1, 2, 32768): 1, (50, 2, 3, 16384): 3}
+
+
+def test_topk_block_equals_all_scores():
+    r = np.random.RandomState(3)
+    for dims, skew in ((1, 1.0), (5, 3.0), (16, 0.3)):
+        v = np.floor(r.standard_normal((700, dims)) * 200 * np.arange(1, dims + 1) ** -skew).astype(np.int64)
+        q, ids, best = v[:9].copy(), r.permutation(700), topk.Best(9, 5)
+        q[3] = 0
+        for at in range(0, 700, 100):
+            topk.search_block(q, ids[:9], v[at : at + 100], ids[at : at + 100], best, np.arange(9))
+        for j in range(9):
+            want = sorted((-int(x @ q[j]), int(i)) for x, i in zip(v, ids, strict=True) if i != ids[j])[:5]
+            assert [(-int(s), int(i)) for s, i in zip(best.score[j], best.id[j], strict=True)] == want
+
+
 def test_topk_stops_early():
     r = np.random.RandomState(0)
     v = r.randint(-5, 6, (4000, 3)) * np.array([100, 1, 1])
