@@ -77,12 +77,12 @@ def statistics(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Discriminant:
-    """Means, inverted Cholesky factors, log-determinants and log-priors of the classes 0 and 1, and the calibration."""
+    """Means, Cholesky factors, log-determinants with log-priors of the classes 0 and 1, and the calibration."""
 
     shift: np.ndarray
     scale: np.ndarray
     means: list[np.ndarray]
-    whiten: list[np.ndarray]
+    factors: list[np.ndarray]
     offset: list[float]
     slope: float
     level: float
@@ -95,10 +95,18 @@ class Discriminant:
 
     def difference(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.shift) / self.scale
-        d = [o - 0.5 * (((z - mu) @ w.T) ** 2).sum(axis=1) for mu, w, o in zip(self.means, self.whiten, self.offset, strict=True)]
+        d = [o - 0.5 * (forward(low, z - mu) ** 2).sum(axis=1) for mu, low, o in zip(self.means, self.factors, self.offset, strict=True)]
         return d[1] - d[0]
 
 
+def forward(low: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Each row solved against a lower triangular factor; the sum of squares is its Mahalanobis distance."""
+    out = np.empty_like(rows)
+    for i in range(len(low)):
+        out[:, i] = (rows[:, i] - out[:, :i] @ low[i, :i]) / low[i, i]
+    return out
+
+
 def soft(d: np.ndarray) -> np.ndarray:
     """Compresses large differences, keeping their order."""
     return np.sign(d) * np.log1p(np.abs(d))
@@ -120,12 +128,12 @@ def fit(x: np.ndarray, y: np.ndarray, towards_pooled: float = 0.5, towards_diago
     covs = [np.atleast_2d(np.cov(g, rowvar=False)) for g in groups]
     pooled = sum(len(g) * c for g, c in zip(groups, covs, strict=True)) / len(z)
     pooled = (1 - towards_diagonal) * pooled + towards_diagonal * np.diag(np.diag(pooled)) + 1e-3 * np.eye(len(shift))
-    whiten, offset = [], []
+    factors, offset = [], []
     for g, c in zip(groups, covs, strict=True):
         low = np.linalg.cholesky((1 - towards_pooled) * c + towards_pooled * pooled)
-        whiten.append(np.linalg.inv(low))
+        factors.append(low)
         offset.append(float(np.log(len(g) / len(z)) - np.log(np.diag(low)).sum()))
-    raw = Discriminant(shift, scale, means, whiten, offset, 1.0, 0.0)
+    raw = Discriminant(shift, scale, means, factors, offset, 1.0, 0.0)
     f = soft(raw.difference(x))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a lightly penalised logistic curve
@@ -137,7 +145,7 @@ def fit(x: np.ndarray, y: np.ndarray, towards_pooled: float = 0.5, towards_diago
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-8:
             break
-    return Discriminant(shift, scale, means, whiten, offset, max(float(a), 1e-3), float(b))
+    return Discriminant(shift, scale, means, factors, offset, max(float(a), 1e-3), float(b))
 
 
 def _measure() -> Callable[[list], list[list]]:
@@ -147,8 +155,12 @@ def _measure() -> Callable[[list], list[list]]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> Discriminant:
     """Learns from ``labels`` (doc_id, quality) on the texts of ``docs`` (doc_id, text).
 
-    A bounded sample: the ``rows`` labelled documents whose ids hash lowest. Labels that are null or
-    neither 0 nor 1 don't count. What is broadcast and what comes to the driver is bounded by ``rows``.
+    A bounded sample: the documents of the ``rows`` label rows whose ids hash lowest. Labels that are
+    null or neither 0 nor 1, and rows without id, don't count. Of an id with several labels the
+    smallest counts. An id with several texts counts once, with the statistics that come first in
+    order, so reruns give the same model. Null texts count as empty. Without labelled texts of both
+    classes the model scores every text alike. What is broadcast and what comes to the driver is
+    bounded by ``rows``. Other columns are not read.
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     sample = usable.orderBy(F.xxhash64(F.col("labelled").cast("string")), "labelled", "quality").limit(rows)
@@ -159,16 +171,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> Discriminan
         return fit(np.zeros((0, STATISTICS)), np.zeros(0))
     picked = docs.sparkSession.createDataFrame([(i,) for i in known], "labelled bigint")
     found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))
-    made = map_text(found, ["doc_id"], _measure, [("x", "array<double>", pa.list_(pa.float64()))]).limit(2 * rows).collect()
-    made.sort(key=lambda r: (r["doc_id"], r["x"]))
+    made = map_text(found, ["doc_id"], _measure, [("x", "array<double>", pa.list_(pa.float64()))]).groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    made.sort(key=lambda r: r["doc_id"])
     return fit(np.array([r["x"] for r in made]).reshape(-1, STATISTICS), np.array([known[r["doc_id"]] for r in made], float))
 
 
 def score_quality(docs: DataFrame, model: Discriminant, keep: list[str] | None = None) -> DataFrame:
     """Quality of every whole text: the columns ``keep`` (doc_id) and ``quality_score`` (0 to 1).
 
-    Null texts count as empty and are scored too. Rows are independent: repeats get the same score,
-    and other columns are not read. An empty table gives an empty one.
+    Null texts count as empty and are scored too; very long ones are read whole. Rows are independent:
+    repeats get the same score, so ties are theirs, and other columns are not read. An empty table
+    gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few matrices of 16 x 16
 
@@ -180,7 +193,11 @@ def score_quality(docs: DataFrame, model: Discriminant, keep: list[str] | None =
 
 
 def keep_quality(docs: DataFrame, model: Discriminant, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose quality score is ``least`` or more, with all their columns."""
+    """The rows of ``docs`` whose quality score is ``least`` or more, with all their columns.
+
+    Each row is judged by its own whole text, a null one as empty, so repeats stay or go together.
+    Columns keep their names and values, whatever they are; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[list], list[bool]]:

@@ -394,6 +394,40 @@ def test_quality(spark, hard, none):
         assert quality.keep_quality(none, model).count() == 0 and quality.keep_quality(hard, model).columns == hard.columns
 
 
+def test_discriminant_equals_plain_densities():
+    """Scores against the plain inverse and determinant of the shrunk covariances."""
+    r = np.random.RandomState(2)
+    x = np.concatenate([r.standard_normal((90, 5)) @ r.standard_normal((5, 5)), r.standard_normal((60, 5)) * 2 + 0.7])
+    y = np.array([0.0] * 90 + [1.0] * 60)
+    model = quality.fit(x, y, 0.5, 0.2)
+    z = (x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6)
+    cov = [np.cov(z[y == c], rowvar=False) for c in (0, 1)]
+    pooled = (90 * cov[0] + 60 * cov[1]) / 150
+    pooled = 0.8 * pooled + 0.2 * np.diag(np.diag(pooled)) + 1e-3 * np.eye(5)
+    dens = []
+    for c in (0, 1):
+        m, s = z[y == c].mean(axis=0), 0.5 * cov[c] + 0.5 * pooled
+        dens.append(np.log((y == c).mean()) - 0.5 * np.log(np.linalg.det(s)) - 0.5 * np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(s), z - m))
+    assert np.allclose(model.difference(x), dens[1] - dens[0])
+
+
+def test_quality_trains_alike_on_repeated_ids(spark, docs, texts):
+    """Ids with several texts and labels: one row an id, the same model whatever the order of rows."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").select("doc_id", "quality").collect()
+    ids = [r["doc_id"] for r in labels]
+    twice = [(i, texts[i]) for i in ids] + [(i, texts[j]) for i, j in zip(ids, ids[1:])] * 3
+    marks = [(r["doc_id"], r["quality"]) for r in labels] + [(ids[0], 1 - labels[0]["quality"])]
+    models = []
+    for k in (1, -1):
+        df = spark.createDataFrame(twice[::k], "doc_id bigint, text string").repartition(5 + k)
+        models.append(quality.train(df, spark.createDataFrame(marks[::k], "doc_id bigint, quality int")))
+    x = np.array([quality.statistics(t) for t in texts.values()])
+    assert (models[0].score(x) == models[1].score(x)).all()
+    own = {i: min(quality.statistics(t) for j, t in twice if j == i) for i in ids}
+    known = {i: min(q for j, q in marks if j == i) for i in ids}
+    assert np.allclose(quality.fit(np.array([own[i] for i in sorted(ids)]), np.array([known[i] for i in sorted(ids)], float)).score(x), models[0].score(x))
+
+
 def plain_jump(key, n):
     b, j = -1, 0
     while j < n:
