@@ -22,8 +22,8 @@ OTHER = re.compile(r"[\W\d_]+")
 
 #: Long texts are encoded in blocks of so many bytes, so that what a text says about itself doesn't hide the dictionary.
 BLOCK = 4096
-#: Blocks up to this length are encoded at a higher level.
-SHORT = 600
+#: The encoder's level, for texts of any length.
+LEVEL = 6
 #: Long training texts are sampled at so many places.
 PIECES = 16
 #: Follows every block. It costs a few bytes whatever the dictionary, and keeps the encoder from storing short blocks as they are.
@@ -44,17 +44,32 @@ def letters(text: str) -> str:
 
 
 def spread(pieces: list[str], most: int) -> str:
-    """Up to ``most`` characters of a text, by :func:`letters`, in equal parts from the start of each of its pieces."""
-    return " ".join(letters(x)[: most // len(pieces)] for x in pieces)
+    """About ``most`` bytes of a text, by :func:`letters`, in equal parts of whole characters from the start of each of its pieces."""
+    return " ".join(letters(x).encode()[: max(1, most // len(pieces))].decode(errors="ignore") for x in pieces)
+
+
+def level_of(sizes: list[int], total: int) -> int:
+    """The largest share a text may have so that all together have ``total`` at most."""
+    left, low = total, 0
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left // (len(sizes) - i)
+        left, low = left - n, n
+    return low
 
 
 def train(rows: DataFrame, texts_each: int = 96, bytes_each: int = 98_304) -> Languages:
     """Fits dictionaries to ``rows`` (doc_id, text, lang).
 
-    A bounded sample: of each language, the ``texts_each`` texts whose ids hash lowest, up to
-    ``bytes_each`` bytes in all, and of each text an eighth of that in characters at most. Of a
-    longer text, these are passages from ``PIECES`` places spread evenly from its start to its end. Rows whose lang is null or whose text has no letter don't count.
-    The window keeps that many rows of a language in each task before anything is shuffled.
+    A bounded sample: of each language, the ``texts_each`` texts whose ids hash lowest, up to about
+    ``bytes_each`` bytes in all, shared out so that no text has more than another unless that one is
+    shorter, nor more than an eighth. What a longer text gives are passages from ``PIECES`` places,
+    spread evenly from its start to its end. The bounds hold a language; languages have no bound.
+
+    Rows whose lang is null or whose text is null or has no letter don't count. Rows that repeat
+    count each; ties in the hash go by id and text, so reruns give the same model. Without usable
+    rows the model knows no language. Other columns are not read. The window keeps that many rows of
+    a language in each task before anything is shuffled.
     """
     use = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "text")
@@ -68,13 +83,18 @@ def train(rows: DataFrame, texts_each: int = 96, bytes_each: int = 98_304) -> La
     passage = lambda i: F.substring(F.col("text"), F.floor(length * i / PIECES).cast("int") + 1, size)
     pieces = F.when(length <= most, F.array("text")).otherwise(F.transform(at, passage))
     for r in picked.select("lang", "rank", pieces.alias("pieces")).toLocalIterator():
-        # No text may fill a dictionary by itself.
-        parts.setdefault(r["lang"], []).append((r["rank"], spread(r["pieces"], most)))
+        parts.setdefault(r["lang"], []).append((r["rank"], [letters(x) for x in r["pieces"]]))
     names = sorted(parts, key=lambda x: (-counts[x], x))
-    return fit(names, [[x for _, x in sorted(parts[name])] for name in names], bytes_each)
+    texts = []
+    for name in names:
+        own = [x for _, x in sorted(parts[name])]
+        # No text may fill a dictionary by itself.
+        share = level_of([min(most, len(" ".join(x).encode())) for x in own], bytes_each)
+        texts.append([spread(x, share) for x in own])
+    return fit(names, texts)
 
 
-def fit(names: list[str], texts: list[list[str]], bytes_each: int) -> Languages:
+def fit(names: list[str], texts: list[list[str]]) -> Languages:
     """Dictionaries of texts that were prepared by :func:`letters`.
 
     Texts can quote other languages. So the two halves of the texts check each other: of each half,
@@ -82,7 +102,7 @@ def fit(names: list[str], texts: list[list[str]], bytes_each: int) -> Languages:
     language. A language of which nothing would be left keeps all.
     """
     passages = [[[y for x in group[half::2] for y in cut_up(x)] for half in (0, 1)] for group in texts]
-    joined = lambda parts: " ".join(parts).encode()[-bytes_each:]
+    joined = lambda parts: " ".join(parts).encode()
     checks = [scorer(Languages(names, [joined(p[half]) or b" " for p in passages]), 0.0) for half in (0, 1)]
     made = []
     for name, p in zip(names, passages, strict=True):
@@ -107,14 +127,13 @@ def cut_up(text: str, length: int = 240) -> list[str]:
 def scorer(model: Languages, margin: float) -> Callable[[list], list[list]]:
     """A function from texts to their language, score and rejection."""
 
-    def coder(raw: bytes, level: int) -> zstandard.ZstdCompressor:
+    def coder(raw: bytes) -> zstandard.ZstdCompressor:
         d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False)
+        d.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False)
 
-    fast = [coder(x, 3) for x in model.dictionaries]
-    best = [coder(x, 12) for x in model.dictionaries]
-    empty = len(best[0].compress(PAD)) if best else 0
+    coders = [coder(x) for x in model.dictionaries]
+    empty = len(coders[0].compress(PAD)) if coders else 0
 
     def one(text: str | None) -> tuple[str, float, bool]:
         if not model.names or not text or not any(map(str.isalpha, text)):
@@ -123,7 +142,7 @@ def scorer(model: Languages, margin: float) -> Callable[[list], list[list]]:
         sizes = [0] * len(model.names)
         for at in range(0, len(raw), BLOCK):
             block = raw[at : at + BLOCK]
-            for i, c in enumerate(best if len(block) <= SHORT else fast):
+            for i, c in enumerate(coders):
                 sizes[i] += len(c.compress(block + PAD)) - empty
         low = min(sizes)
         first = sizes.index(low)
@@ -145,8 +164,9 @@ def identify(docs: DataFrame, model: Languages, margin: float = 0.02, keep: list
     ``score`` is the share of the best language when every two bytes that another encoding takes
     more halve its weight. ``rejected`` tells that the runner-up is within ``margin`` of the best.
     Texts that are null or have no letter get ``und``, score 0 and are rejected; so does every text
-    if the model knows no language. Ties go to the language with more training texts. Repeated rows
-    each get their row. Columns other than ``keep`` and text are neither read nor returned.
+    if the model knows no language. Very long texts are encoded whole, block by block. Ties go to the
+    language with more training texts. Repeated rows each get their row; an empty table gives an
+    empty one. Columns other than ``keep`` and text are neither read nor returned.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)  # bounded: bytes_each a language

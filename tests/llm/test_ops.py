@@ -80,6 +80,31 @@ def test_training_reads_whole_texts(spark):
     assert len(found["aa"]) <= 98_304 // 8 + langid.PIECES
 
 
+def test_language_is_that_of_the_smallest_encoding(texts):
+    """The choice against a plain loop over dictionaries; every block at one level, whatever its length."""
+    import zstandard
+
+    r = random.Random(3)
+    groups = [[" ".join("".join(r.choice(a) for _ in range(r.randint(2, 8))) for _ in range(300)) for _ in range(4)] for a in ("abcdef", "defghi", "uvwxyz")]
+    model = langid.Languages(["x", "y", "z"], [" ".join(g).encode() for g in groups])
+
+    def size(raw, block):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=langid.LEVEL, write_content_size=False, write_checksum=False).compress(block + langid.PAD))
+
+    sample = [g[0][a : a + n] for g in groups for a, n in ((5, 30), (50, 400), (0, 900))] + [(g[1] + " ") * 9 for g in groups]
+    got = langid.scorer(model, 0.02)(sample)[0]
+    for t, name in zip(sample, got, strict=True):
+        raw = langid.letters(t).encode()
+        sizes = [sum(size(d, raw[at : at + langid.BLOCK]) for at in range(0, len(raw), langid.BLOCK)) for d in model.dictionaries]
+        assert name == model.names[sizes.index(min(sizes))]
+
+
+def test_training_shares_out_its_bytes():
+    assert langid.level_of([5, 9, 100, 100], 54) == 20 and langid.level_of([5, 9], 100) == 9 and langid.level_of([], 9) == 0
+    assert langid.spread(["ééé", "abc"], 6) == "é abc"
+
+
 def plain_overlap(own, words, window, least):
     """Whether some diagonal has a window that agrees enough."""
     w = min(window, len(own))
