@@ -172,5 +172,35 @@ SELECT doc_id, size, source_size, target,
 FROM f"""
 
 
+def _op9_sql() -> str:
+    def jumped(shards: int) -> str:
+        """The last jump below ``shards`` of every key."""
+        return f"""
+  SELECT key, max(place) AS shard FROM walk WHERE place < {shards} GROUP BY key"""
+
+    step = "CAST((state * 2862933555777941757 + 1) % 18446744073709551616 AS UHUGEINT)"
+    # Jumps go on until they pass the larger number of shards.
+    return rf"""
+WITH RECURSIVE t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), a >> 1) ELSE a >> 1 END, i) AS c FROM range(256) r(i))),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS bytes,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS UHUGEINT) AS key FROM documents),
+c AS (
+  SELECT doc_id, size, key, xor(list_reduce(list_transform(regexp_extract_all(bytes, '..'), lambda s: CAST('0x' || s AS BIGINT)),
+    lambda a, b: xor(t[CAST(xor(a, b) & 255 AS BIGINT) + 1], a >> 8), CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS crc FROM d, t),
+walk AS (
+  SELECT DISTINCT key, key AS state, CAST(0 AS BIGINT) AS place FROM d
+  UNION ALL
+  SELECT key, {step}, CAST(floor(CAST(place + 1 AS DOUBLE) * (CAST(2147483648 AS DOUBLE) / (CAST({step} // 8589934592 AS DOUBLE) + CAST(1 AS DOUBLE)))) AS BIGINT)
+  FROM walk WHERE place < {SHARDS + 1}),
+a AS ({jumped(SHARDS)}),
+b AS ({jumped(SHARDS + 1)})
+SELECT doc_id, CAST(size AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(a.shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY a.shard ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || CAST(crc AS VARCHAR)), doc_id) - 1 AS slot, CAST(b.shard AS INTEGER) AS grown_shard
+FROM c JOIN a USING (key) JOIN b USING (key)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _op3_sql(), "op5_topk": _OP5_SQL, "op10_mix": _op10_sql()}
+    return {"op3_url_filter": _op3_sql(), "op5_topk": _OP5_SQL, "op9_jump_shards": _op9_sql(), "op10_mix": _op10_sql()}

@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+from quillspark.llm.common import cut
+
+#: Hexadecimal digits of a row's hash that name its bucket.
+DIGITS = 3
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -31,22 +34,26 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def shard_of(key: Column, shards: int) -> Column:
-    """Shard of a 64-bit key column."""
+    """Shard of a key of eight bytes, read as a whole number with its first byte highest."""
 
     @F.pandas_udf("int")
     def number(keys: pd.Series) -> pd.Series:
-        return pd.Series(jump(keys.to_numpy(np.int64).view(np.uint64), shards))
+        return pd.Series(jump(np.frombuffer(b"".join(keys), ">u8"), shards))
 
     return number(key)
 
 
 def stable_key(doc_id: Column) -> Column:
-    """The key of a document: a hash of its id alone. Documents without id share one key."""
-    return F.xxhash64(doc_id.cast("string"))
+    """The key of a document: the first eight bytes of its id's md5. Documents without id share the key of an empty one."""
+    return F.unhex(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 16))
 
 
 def add_shard(docs: DataFrame, shards: int, name: str = "shard") -> DataFrame:
-    """``docs`` with the shard of each row by its doc_id; a column of that name is replaced. No shuffle."""
+    """``docs`` with the shard of each row by its doc_id; a column of that name is replaced. No shuffle.
+
+    Rows that repeat an id go together, whatever their texts, which aren't read; rows without id go
+    to one shard. An empty table gives an empty one.
+    """
     return docs.withColumn(name, shard_of(stable_key(F.col("doc_id")), shards))
 
 
@@ -56,17 +63,20 @@ def assign(docs: DataFrame, shards: int) -> DataFrame:
     Returns doc_id, size (UTF-8 bytes of the text plus 1; 1 if null), text_crc32 (of the UTF-8
     bytes; a null text counts as empty), law (``key``), shard (0 to ``shards`` - 1), slot (its
     number in the shard, from 0 without gaps) and grown_shard (with one shard more). Rows without
-    doc_id go to one shard; rows that repeat go together but have slots of their own. An empty table
-    gives an empty one. Other columns are not read.
+    doc_id go to one shard; rows that repeat go together but have slots of their own. Slots follow
+    the md5 of id and checksum; where rows tie in that, they are equal in all that is returned. An
+    empty table gives an empty one. Other columns are not read.
 
-    Slots are numbered within buckets of a shard, by hash, and shifted by the rows in earlier
-    buckets; the table of those shifts has ``BUCKETS`` rows a shard, whatever the data.
+    Texts are read once: ids, sizes and checksums are written, and numbered from there. Slots are
+    numbered within buckets of a shard and shifted by the rows in earlier buckets; the table of those
+    shifts has 16 to the power ``DIGITS`` rows a shard at most, whatever the data.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     key = stable_key(F.col("doc_id"))
-    rows = rows.select("*", shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"), F.xxhash64("doc_id", "text_crc32", F.lit(3)).alias("h"))
-    rows = rows.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.col("text_crc32").cast("string"))
+    rows = cut(rows.select("*", shard_of(key, shards).alias("shard"), shard_of(key, shards + 1).alias("grown_shard"), F.md5(own.cast("binary")).alias("h")), "sizes")
+    rows = rows.withColumn("bucket", F.substring("h", 1, DIGITS))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shift = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     number = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "text_crc32", "size")) - 1
