@@ -70,21 +70,28 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
 def place(docs: DataFrame, carry: list[str], weights: tuple[int, ...], schedules: tuple[tuple[float, ...], ...], most: int, digits: int) -> DataFrame:
     """``carry`` of each row, and __size, __source_size, __target, __times and __positions.
 
-    The order in a source is that of the ids' md5. Words before a document are those in earlier
-    cells, which share the first ``digits`` digits, and those before it in its own cell.
+    The order in a source is that of the ids' md5; rows that share an id are in the order of their
+    sizes, then of their texts' hashes. Words before a document are those in earlier cells, which
+    share the first ``digits`` digits, and those before it in its own cell.
     """
+    if list(carry) == ["doc_id"]:
+        # Without texts to carry, words are counted once.
+        docs = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("__words"), F.xxhash64("text").alias("__tie")), "words")
+        size, tie = F.col("__words"), F.col("__tie")
+    else:
+        size, tie = word_count(F.col("text")), F.xxhash64("text")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # One key for source and cell, so that the window and the join share a shuffle.
     cell = F.concat(F.substring(key, 1, digits), F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))))
-    rows = docs.select(*carry, *([] if "doc_id" in carry else ["doc_id"]), word_count(F.col("text")).alias("__size"), key.alias("__key"), cell.alias("__cell"))
-    light = docs.select(F.col("source").alias("__source"), word_count(F.col("text")).alias("__size"), cell.alias("__cell"))
+    rows = docs.select(*carry, *([] if "doc_id" in carry else ["doc_id"]), size.alias("__size"), tie.alias("__tie"), key.alias("__key"), cell.alias("__cell"))
+    light = docs.select(F.col("source").alias("__source"), size.alias("__size"), cell.alias("__cell"))
     cells = cut(light.groupBy("__source", "__cell").agg(F.sum("__size").alias("__in_cell")), "cells")
     goal = targets(cells.groupBy(F.col("__source").alias("source")).agg(F.sum("__in_cell").alias("source_size")), weights, most)
     earlier = Window.partitionBy("__source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     shift = cells.select("__source", "__cell", F.coalesce(F.sum("__in_cell").over(earlier), F.lit(0)).alias("__shift"))
     table = shift.join(goal, shift["__source"].eqNullSafe(goal["source"])).select(F.col("__cell").alias("__c"), "__shift", F.col("source_size").alias("__total"), F.col("kind").alias("__kind"), F.col("target").alias("__goal"))
     table = cut(table, "targets")
-    in_cell = Window.partitionBy("__cell").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    in_cell = Window.partitionBy("__cell").orderBy("__key", "doc_id", "__size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("__before", F.coalesce(F.sum("__size").over(in_cell), F.lit(0)))
     joined = numbered.join(table, F.col("__cell") == F.col("__c"))
     start = F.col("__shift") + F.col("__before")
@@ -118,8 +125,8 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple[t
     A null text has no words. A null source is a source, and comes last. A document is used as often
     as the middle of its words lies within the demand, at most ``most`` times; so a source misses its
     target by half a document at most. Rows without doc_id, and rows that repeat one, stand at one
-    place in the order, in an order that doesn't matter where they are equal. Reruns agree, as only
-    ids decide. An empty table gives an empty one. Other columns are not read.
+    place in the order, by size and a hash of their texts. Reruns agree, as only ids and texts decide.
+    A very long text counts whole. An empty table gives an empty one. Other columns are not read.
     """
     placed = place(docs, ["doc_id"], weights, schedules, most, digits)
     out = placed.select(
@@ -136,8 +143,10 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple[t
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple[tuple[float, ...], ...] = SCHEDULES, most: int = MOST, digits: int = 3) -> DataFrame:
     """The rows of ``docs`` as the mix uses them, with all their columns, range-sorted by training position.
 
-    A row stands once for each use. Rows that the mix doesn't use go; rows without words cost nothing
-    and stay, once, at the start.
+    A row stands once for each use. Rows that the mix doesn't use go; rows without words, null texts
+    among them, cost nothing and stay, once, at the start. Rows that repeat an id each have a place
+    of their own, by size and a hash of their texts, so reruns use the same ones. An empty table
+    gives an empty one; columns of any other name pass through.
     """
     placed = place(docs, docs.columns, weights, schedules, most, digits)
     uses = F.when(F.col("__size") == 0, F.array(F.lit(0.0))).otherwise(F.col("__positions"))
