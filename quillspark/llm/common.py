@@ -36,11 +36,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def few_files(df: DataFrame, rows: int | None) -> DataFrame:
-    """``df`` in fewer partitions if it has at most ``rows`` rows, each with 50,000 at least."""
-    if rows is None:
-        return df
+    """``df`` dealt out to fewer partitions if it has at most ``rows`` rows, each with 50,000 at least.
+
+    The rows are shuffled for that, so the stage that makes them keeps all its tasks.
+    """
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.coalesce(max(2, min(most, -(-rows // 50_000))))
+    if rows is None or (parts := max(1, -(-rows // 50_000))) >= most:
+        return df
+    return df.repartition(parts)
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _written(df: DataFrame, name: str, rows: int | None) -> tuple[str, DataFrame]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    few_files(df, rows).write.parquet(path)
+    files, at = _path(spark, path)
+    files.deleteOnExit(at)
+    return path, spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
@@ -50,13 +67,26 @@ def cut(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFram
     goes when the application ends. ``rows``, an upper bound of the rows, spares small tables from
     being written as hundreds of files.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
-    few_files(df, rows).write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, name, rows)[1]
+
+
+class Tables:
+    """Tables as :func:`cut` makes them, which can be dropped before the application ends."""
+
+    def __init__(self) -> None:
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __call__(self, df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
+        path, table = _written(df, name, rows)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Deletes tables; nothing that is still to be computed may need them."""
+        for table in tables:
+            if table is not None:
+                files, at = _path(table.sparkSession, self.paths.pop(id(table))[1])
+                files.delete(at, True)
 
 
 class Held:

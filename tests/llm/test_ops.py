@@ -400,6 +400,34 @@ def test_recall_of_the_adapted_depth():
     assert forest.chance(d, 20, 0.8) >= 0.999 > forest.chance(d + 1, 20, 0.8)
 
 
+def test_mix_of_repeated_ids_agrees(spark):
+    """Texts of equal length that share an id: reruns use the same ones, whatever the order of rows."""
+    rows = [(i % 5, f"w{i} " * 7, "en", "s" if i % 4 else "t", 7) for i in range(60)]
+    runs = [sorted((r["text"], r["source"]) for r in mixing.mixed(spark.createDataFrame(rows[::k], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)).collect()) for k in (1, -1)]
+    assert runs[0] == runs[1] and len(set(runs[0])) < 60
+
+
+def test_tables_are_dropped(spark):
+    from quillspark.llm import common
+
+    made = common.Tables()
+    table = made(spark.range(10).toDF("x"), "dropped", 10)
+    files, at = common._path(spark, next(iter(made.paths.values()))[1])
+    assert table.count() == 10 and files.exists(at) and table.rdd.getNumPartitions() == 1
+    made.drop(table, None)
+    assert not files.exists(at) and not made.paths
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    r = random.Random(4)
+    names = list(range(3000))
+    r.shuffle(names)
+    edges = [(names[i], names[i + 1]) for i in range(2000)] + [(names[2999], names[i]) for i in range(2100, 2990)]
+    got = {x["v"]: x["comp"] for x in components.components(spark.createDataFrame(edges, "a int, b int"), 3000).collect()}
+    path, star = names[:2001], names[2100:2990] + [names[2999]]
+    assert got == {i: min(path) for i in path} | {i: min(star) for i in star}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100), (200, 300), (300, 250), (None, 5), (260, 250)] + [(500, i) for i in range(501, 540)]
     got = {r["v"]: r["comp"] for r in components.components(spark.createDataFrame(edges, "a int, b int")).collect()}
