@@ -21,6 +21,9 @@ from quillspark.llm.common import WORD, keep_text
 #: Any 10 words of which any 2 are substituted hold a seed of one of these masks.
 MASKS = ("1111", "11011", "1101001", "110011")
 
+#: Pairs of positions with a common seed that are in memory at a time.
+PAIRS = 1 << 20
+
 #: Windows up to this many words have masks of their own, since those above miss some of their substitutions.
 SHORT = 5
 
@@ -69,9 +72,14 @@ class Index:
             order = np.argsort(keys, kind="stable")
             self.seeds.append((keys[order], *(np.concatenate([p[i] for p in parts])[order] if parts else np.empty(0, np.int64) for i in (1, 2))))
 
-    def hits(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """Items and diagonals (position in the text less that in the item) with a common seed."""
-        out: set[tuple[int, int]] = set()
+    def hits(self, words: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item with a common seed, the diagonals (position in the text less that in the item) that have one, sorted.
+
+        Pairs of positions are expanded and made distinct piece by piece. A seed that occurs often in
+        both texts has too many pairs for that: of one, the positions become the bits of a whole
+        number, which is shifted by each position of the other, so pairs are never listed.
+        """
+        found: dict[int, list[np.ndarray]] = {}
         for mask, (keys, item, pos) in zip(self.masks, self.seeds, strict=True):
             at, h = seed_keys(words, mask)
             if not len(at) or not len(keys):
@@ -79,38 +87,83 @@ class Index:
             lo = np.searchsorted(keys, h, "left")
             n = np.searchsorted(keys, h, "right") - lo
             some = np.flatnonzero(n)
-            if len(some):
-                who = np.repeat(some, n[some])
-                first = np.repeat(np.cumsum(n[some]) - n[some], n[some])
-                where = lo[who] + np.arange(len(who)) - first
-                out.update(zip(item[where].tolist(), (at[who] - pos[where]).tolist(), strict=True))
-        return out
+            if not len(some):
+                continue
+            if n[some].sum() > PAIRS:
+                own, first, times = np.unique(lo[some], return_index=True, return_counts=True)
+                often = own[times * n[some][first] > PAIRS // 64]
+                for start in often:
+                    self.shifted(found, at[some[lo[some] == start]], item, pos, int(start), int(n[some[lo[some] == start][0]]))
+                some = some[~np.isin(lo[some], often)]
+            ends, begin = np.cumsum(n[some]), 0
+            while begin < len(some):
+                stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PAIRS, "right")))
+                part = some[begin:stop]
+                who = np.repeat(part, n[part])
+                where = lo[who] + np.arange(len(who)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                put(found, item[where], at[who] - pos[where])
+                begin = stop
+        return {i: np.unique(np.concatenate(x)) for i, x in found.items()}
+
+    @staticmethod
+    def shifted(found: dict[int, list[np.ndarray]], at: np.ndarray, item: np.ndarray, pos: np.ndarray, start: int, n: int) -> None:
+        """Adds the diagonals of one seed: at ``at`` in the text, and the ``n`` entries from ``start`` of the items."""
+        for i in np.unique(item[start : start + n]):
+            other = pos[start : start + n][item[start : start + n] == i]
+            few, many, sign = (other, at, -1) if len(other) <= len(at) else (at, other, 1)
+            low, high = int(many.min()), int(few.min() if sign > 0 else few.max())
+            flags = np.zeros(int(many.max()) - low + 1, np.uint8)
+            flags[many - low] = 1
+            if sign > 0:  # diagonals are few - many: turn the flags round
+                flags, low = flags[::-1], -int(many.max())
+            bits, out = int.from_bytes(np.packbits(flags, bitorder="little").tobytes(), "little"), 0
+            for f in few.tolist():
+                out |= bits << (f - high if sign > 0 else high - f)
+            raw = np.frombuffer(out.to_bytes(out.bit_length() // 8 + 1, "little"), np.uint8)
+            found.setdefault(int(i), []).append(np.flatnonzero(np.unpackbits(raw, bitorder="little")) + low + (high if sign > 0 else -high))
 
     def overlaps(self, text: str, window: int, least: float) -> dict[int, tuple[int, int, int]]:
-        """For each item that the text holds, the longest overlap: start and end in words of the text, and words that agree."""
+        """For each item that the text holds, the overlap of most agreeing words, then the first: start and end in words of the text, and words that agree."""
         tokens = WORD.findall(text.lower())
         known = self.words
         words = np.fromiter((known.get(w, 0) for w in tokens), np.int64, len(tokens))
         best: dict[int, tuple[int, int, int]] = {}
-        for item, diagonal in sorted(self.hits(words)):
+        for item, diagonals in sorted(self.hits(words).items()):
             own = self.items[item]
-            a, b = max(0, -diagonal), min(len(own), len(words) - diagonal)
             w = min(window, len(own))
-            if b - a < w:
-                continue
-            same = np.concatenate([[0], np.cumsum(own[a:b] == words[a + diagonal : b + diagonal])])
-            good = np.flatnonzero(same[w:] - same[:-w] >= least * w - 1e-9)
-            if len(good):
-                # The longest stretch of overlapping windows that all pass.
-                groups = np.split(good, np.flatnonzero(np.diff(good) > w) + 1)
-                g = max(groups, key=lambda x: x[-1] - x[0])
-                s, e = int(g[0]), int(g[-1]) + w
-                new = (s + a + diagonal, e + a + diagonal, int(same[e] - same[s]))
-                if item not in best or (new[2], -new[0]) > (best[item][2], -best[item][0]):
-                    best[item] = new
+            room = np.minimum(len(own), len(words) - diagonals) - np.maximum(0, -diagonals)
+            # From the longest on, as no overlap has more words that agree than its diagonal has.
+            for k in np.argsort(-room, kind="stable"):
+                if room[k] < w or (item in best and room[k] < best[item][2]):
+                    break
+                diagonal = int(diagonals[k])
+                a = max(0, -diagonal)
+                b = a + int(room[k])
+                same = np.concatenate([[0], np.cumsum(own[a:b] == words[a + diagonal : b + diagonal])])
+                good = np.flatnonzero(same[w:] - same[:-w] >= least * w - 1e-9)
+                if len(good):
+                    # The longest stretch of overlapping windows that all pass.
+                    groups = np.split(good, np.flatnonzero(np.diff(good) > w) + 1)
+                    g = max(groups, key=lambda x: x[-1] - x[0])
+                    s, e = int(g[0]), int(g[-1]) + w
+                    new = (s + a + diagonal, e + a + diagonal, int(same[e] - same[s]))
+                    if item not in best or (new[2], -new[0]) > (best[item][2], -best[item][0]):
+                        best[item] = new
         return best
 
 
+def put(found: dict[int, list[np.ndarray]], item: np.ndarray, diagonal: np.ndarray) -> None:
+    """Adds distinct diagonals to those of their items."""
+    order = np.lexsort((diagonal, item))
+    item, diagonal = item[order], diagonal[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1])
+    item, diagonal = item[new], diagonal[new]
+    starts = np.flatnonzero(np.diff(item, prepend=-1))
+    for i, part in zip(item[starts], np.split(diagonal, starts[1:]), strict=True):
+        found.setdefault(int(i), []).append(part)
+
+
 def slices_of(benchmark: DataFrame, masks: tuple[str, ...], slice_mb: int, window: int, least: float) -> Iterator:
     """Broadcast indexes of the benchmark, each of at most about ``slice_mb`` of text."""
     items = benchmark.where("text IS NOT NULL").select("item_id", "text")
@@ -128,8 +181,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
     whole item, if shorter) of which the share ``least`` agrees: doc_id, item_id, first_word,
     end_word (of the text, end exclusive), n_words, n_same. Words are runs of letters and digits in
     lower case. Windows and items of up to five words are found by masks of their own, except that
-    an item of one word matches nothing, as it would match that word anywhere. Null texts hold nothing; null ids are passed on; rows that repeat are reported each; an empty benchmark or
-    table gives no rows. Other columns are not read.
+    an item of one word matches nothing, as it would match that word anywhere. Of several overlaps
+    with an item that of most agreeing words is reported, of equal ones the first.
+
+    Null and empty texts hold nothing; null ids are passed on; rows that repeat, in either table, are
+    reported each; an empty benchmark or table gives no rows. Other columns are not read. Very long
+    texts are compared whole, with memory in proportion to their length, also where words repeat.
 
     The benchmark goes to the executors in slices of at most about ``slice_mb`` of text, with one
     pass over ``docs`` for each, so no broadcast grows with it. Nothing is shuffled.
@@ -153,7 +210,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: float = 0.8, masks: tuple[str, ...] = MASKS, slice_mb: int = 8) -> DataFrame:
-    """The rows of ``docs`` that have no overlap in the sense of :func:`contaminated`, with all their columns."""
+    """The rows of ``docs`` that have no overlap in the sense of :func:`contaminated`, with all their columns.
+
+    Rows without text stay, as do those without id, if their text is clean; rows that repeat stay or
+    go together. An empty benchmark drops nothing, an empty table gives an empty one, and columns of
+    any name pass through.
+    """
     for sent in slices_of(benchmark, masks, slice_mb, window, least):
         docs = keep_text(docs, lambda sent=sent: lambda texts: [not (t and sent.value.overlaps(t, window, least)) for t in texts])
     return docs

@@ -129,6 +129,80 @@ def test_decontamination_brute(spark, texts):
         assert {index.ids[k] for k in index.overlaps(t, 13, 0.8)} == {x["item_id"] for x in items if plain_overlap(tok(x["text"]), t.split(), 13, 0.8)}
 
 
+def plain_hits(index, words):
+    out = collections.defaultdict(set)
+    for mask, (keys, item, pos) in zip(index.masks, index.seeds, strict=True):
+        at, h = decontam.seed_keys(words, mask)
+        for a, x in zip(at.tolist(), h.tolist(), strict=True):
+            for k in np.flatnonzero(keys == x):
+                out[int(item[k])].add(a - int(pos[k]))
+    return {i: sorted(d) for i, d in out.items()}
+
+
+@pytest.mark.parametrize("pairs", [1 << 20, 64, 4000])
+def test_diagonals_of_repeated_words(monkeypatch, pairs):
+    """Diagonals by expansion, in pieces and by shifted bits against all pairs of positions."""
+    monkeypatch.setattr(decontam, "PAIRS", pairs)
+    r = random.Random(pairs)
+    for _ in range(12):
+        items = [(i, " ".join(r.choice("aab" if i % 2 else "abcdefg") for _ in range(r.randint(1, 70)))) for i in range(5)]
+        index = decontam.Index(items, decontam.MASKS)
+        words = np.array([index.words.get(r.choice("aaabz" if r.random() < 0.7 else "abcdefg"), 0) for _ in range(r.randint(0, 150))], np.int64)
+        assert {i: d.tolist() for i, d in index.hits(words).items()} == plain_hits(index, words)
+
+
+def test_repeated_words_take_little_memory():
+    """20,000 x 20,000 equal words, and words in turn, in seconds and under 500 MB."""
+    import tracemalloc
+
+    for text in ("same " * 20_000, "one two " * 10_000):
+        start = time.perf_counter()
+        tracemalloc.start()
+        index = decontam.Index([(1, text)], decontam.MASKS)
+        assert index.overlaps("start " + text, 10, 0.8)[0] == (1, 20_001, 20_000)
+        assert tracemalloc.get_traced_memory()[1] < 500e6 and time.perf_counter() - start < 20
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("n", range(6, 13))
+def test_items_of_six_to_twelve_words(n):
+    """Every set of substituted words that the share allows, against all alignments."""
+    own = [f"w{i}" for i in range(n)]
+    index = decontam.Index([(1, " ".join(own))], decontam.MASKS, 10, 0.8)
+    for bits in range(1 << n):
+        if bits.bit_count() <= 4:
+            words = ["a", *("zz" if bits >> i & 1 else w for i, w in enumerate(own)), "b"]
+            assert bool(index.overlaps(" ".join(words), 10, 0.8)) == plain_overlap(own, words, 10, 0.8), words
+
+
+def agreeing(words, own, window):
+    """Whether any alignment of whole texts has a window that agrees to 0.8."""
+    w = min(window, len(own))
+    x, y = np.nonzero(words[:, None] == own[None, :])
+    shifts, n = np.unique(x - y, return_counts=True)
+    for d in shifts[n >= 0.8 * w - 1e-9].tolist():
+        a, b = max(0, -d), min(len(own), len(words) - d)
+        same = np.concatenate([[0], np.cumsum(own[a:b] == words[a + d : b + d])])
+        if b - a >= w and (same[w:] - same[:-w] >= 0.8 * w - 1e-9).any():
+            return True
+    return False
+
+
+def test_query_equals_brute_force_on_whole_texts(spark, texts):
+    """The registered query, window of ten words, against every alignment of every text and item."""
+    numbers = collections.defaultdict(lambda: len(numbers))
+    code = lambda t: np.array([numbers[w] for w in decontam.WORD.findall(t.lower())], np.int64)
+    items = {r["item_id"]: code(r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
+    want, known = set(), {}
+    for i, t in texts.items():
+        for k, own in items.items():
+            if i not in known:
+                known[i] = code(t)
+            if agreeing(known[i], own, 10):
+                want.add((i, k))
+    assert {(r["doc_id"], r["item_id"]) for r in Q.op2_decontaminate(spark, SMALL).collect()} == want and len(want) >= 3
+
+
 def test_masks_find_every_ten_words_with_two_substituted():
     item = decontam.Index([(1, " ".join(f"w{i}" for i in range(10)))], decontam.MASKS)
     for a in range(10):
