@@ -11,31 +11,23 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 
 BUDGET = 450
-#: Rounds of halving; parts of up to ``BUDGET`` x 2^ROUNDS tokens come out within the budget.
-ROUNDS = 14
-
-
-def halved(units: Column, limit: int, rounds: int = ROUNDS) -> Column:
-    """An array of arrays: ``units`` cut at n // 2 again and again until no piece is above ``limit``."""
-    pieces = F.array(units)
-    for _ in range(rounds):
-        pieces = F.flatten(
-            F.transform(
-                pieces,
-                lambda w: F.when(
-                    F.size(w) > limit,
-                    F.array(F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int")), F.slice(w, F.floor(F.size(w) / 2).cast("int") + 1, F.size(w))),
-                ).otherwise(F.array(w)),
-            )
-        )
-    return pieces
+def halved(units: Column, limit: int) -> Column:
+    """An array of arrays: ``units`` cut at n // 2 again and again until no piece is above ``limit``.
+
+    A fold over as many rounds as the longest piece needs, whatever its length.
+    """
+    half = lambda w: F.floor(F.size(w) / 2).cast("int")
+    cut = lambda w: F.when(F.size(w) > limit, F.array(F.slice(w, F.lit(1), half(w)), F.slice(w, half(w) + 1, F.size(w)))).otherwise(F.array(w))
+    # One round more than the logarithm says costs little and makes up for its rounding.
+    rounds = F.greatest(F.ceil(F.log2(F.size(units) / F.lit(float(limit)))), F.lit(0)).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), rounds), F.array(units), lambda pieces, _: F.flatten(F.transform(pieces, cut)))
 
 
 def parts(text: Column, limit: int = BUDGET, tokenize: Callable[[Column], Column] = T.tokens) -> Column:
     """Sentences as struct(part, n): whole where they fit, else pieces of tokens joined by spaces."""
     cut = lambda s: F.transform(halved(tokenize(s), limit), lambda w: F.struct(F.array_join(w, " ").alias("part"), F.size(w).alias("n")))
     # Counted in a pass of its own, so that a sentence is taken apart once, not at every use of its length.
-    counted = F.transform(T.sentences(text), lambda s: F.struct(s.alias("part"), F.size(tokenize(s)).alias("n")))
+    counted = F.transform(T.sentences(text), lambda s: F.struct(s.alias("part"), (T.token_count(s) if tokenize is T.tokens else F.size(tokenize(s))).alias("n")))
     return F.flatten(F.transform(counted, lambda x: F.when(x["n"] > limit, cut(x["part"])).otherwise(F.array(x))))
 
 
@@ -114,21 +106,31 @@ def windows(text: str | None, size: int = 1200, overlap: int = 150) -> list[str]
                 continue
             out += join(small)
             small = []
-            out += walk(a, weaker) if weaker else [a]
+            out += walk(a, weaker) if weaker else [x for x in [a.strip()] if x]
         return out + join(small)
 
     return walk(text, SEPARATORS) if text else []
 
 
-def char_windows(text: Column, size: int = 1200, overlap: int = 150) -> Column:
-    """Array of windows of each cleaned text; null and empty texts have none.
+def char_windows(text: Column, size: int = 1200, overlap: int = 150, splitter: Callable[[str | None, int, int], list[str]] = windows) -> Column:
+    """Windows of each cleaned text and the error of the ``splitter``, as struct(windows, error).
 
-    The function counts as nondeterministic: else the filter that an explode implies would be moved
-    below it, and every text would be cut twice.
+    Null and empty texts have no windows; a text that the splitter fails on has none but its error,
+    and fails nothing else. The function counts as nondeterministic: else the filter that an explode
+    implies would be moved below it, and every text would be cut twice.
     """
 
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: windows(t, size, overlap))
+    @F.pandas_udf("struct<windows:array<string>,error:string>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        found: list[list[str]] = []
+        errors: list[str | None] = []
+        for t in texts:
+            try:
+                found.append(splitter(t, size, overlap))
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001  one bad text is one row with an error
+                found.append([])
+                errors.append(f"{type(e).__name__}: {e}")
+        return pd.DataFrame({"windows": found, "error": errors})
 
     return cut.asNondeterministic()(text)

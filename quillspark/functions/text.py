@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Patterns that decide results.
+# Patterns that decide results, those of clean_ascii below among them.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 PHONE = r"\b\d{10}\b"
 CODE = r"\b[A-Z]{2,}\d+\b"
 TOKEN = r"\w+|[^\w\s]"
-SENTENCE_END = r"([.!?])\s+"
+SENTENCE_END = r"(?<=[.!?])\s+"
 #: What white space is.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -74,6 +75,23 @@ def codes(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
 
 
+# What stands before a person's name and after an organisation's.
+TITLES = "Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame"
+FORMS = "Inc|Ltd|LLC|Corp|Corporation|Company|Group|GmbH|AG|SA|SARL|SL|PLC|University|Institute|Foundation"
+_PROPER = r"[A-Z][A-Za-z&'-]*"
+PERSON = rf"\b(?:{TITLES})\.? {_PROPER}(?: {_PROPER})?"
+ORGANISATION = rf"\b{_PROPER}(?: {_PROPER})* (?:{FORMS})\b"
+
+
+def entities(text: Column, places: list[str] | None = None) -> Column:
+    """The offline recogniser: names after a title, organisations by their legal form, and the ``places`` (or products) of a list of the caller's."""
+    found = [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (PERSON, ORGANISATION)]
+    if places:
+        listed = "|".join(re.sub(r"([^\w\s])", r"\\\1", x) for x in sorted(set(places), key=lambda x: (-len(x), x)))
+        found.append(F.regexp_extract_all(text, F.lit(rf"\b(?:{listed})\b"), F.lit(0)))
+    return F.concat(*found)
+
+
 def sensitive_terms(text: Column, entities: Column | None = None) -> Column:
     """Sorted distinct emails, phone numbers and codes, with ``entities`` (array of strings) from a recogniser."""
     parts = [emails(text), phones(text), codes(text)] + ([F.coalesce(entities, F.array().cast("array<string>"))] if entities is not None else [])
@@ -92,12 +110,19 @@ def words(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.size(tokens(text))
+    """The number of :func:`tokens`, without listing them."""
+    return F.regexp_count(text, F.lit(TOKEN))
+
+
+def word_count(text: Column) -> Column:
+    """The number of :func:`words`, without listing them."""
+    return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+"))
 
 
 def sentences(text: Column) -> Column:
     """Sentences with their end marks, stripped, without blank ones; breaks inside stay."""
-    parts = F.split(F.regexp_replace(text, SENTENCE_END, "$1\u0001"), "\u0001")
+    # Split at the white space itself, so no sign of the text can be mistaken for a border.
+    parts = F.split(text, SENTENCE_END)
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 

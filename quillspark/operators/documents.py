@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunks as C
@@ -22,6 +22,11 @@ def with_suffix(files: DataFrame, suffix: str, name: str = "file_name", ignore_c
     return files.where(own.endswith(suffix) & ~F.col(name).startswith("~$"))
 
 
+def without_folders(objects: DataFrame, key: str = "key") -> DataFrame:
+    """Objects of a listing that are no folders: keys ending in a slash go."""
+    return objects.where(~F.col(key).endswith("/"))
+
+
 def latest_by_name(files: DataFrame, name: str, order: str) -> DataFrame:
     """One row a name: the one that comes last by ``order``. Aggregated before it is shuffled."""
     rest = [c for c in files.columns if c != name]
@@ -30,8 +35,9 @@ def latest_by_name(files: DataFrame, name: str, order: str) -> DataFrame:
 
 
 def attempt(docs: DataFrame, value: Callable[[Column], Column], column: str = "text") -> DataFrame:
-    """``docs`` with the value and a null error, or an error and no value where the input is null."""
-    return docs.withColumn("error", F.when(F.col(column).isNull(), F.lit("no text"))).withColumn(column, value(F.col(column)))
+    """``docs`` with the value and a null error, or an error and no value where the input is null or blank."""
+    error = F.when(T.is_blank(F.col(column)), F.lit("no text"))
+    return docs.withColumn("error", error).withColumn(column, F.when(F.col("error").isNull(), value(F.col(column))))
 
 
 def packed_chunks(docs: DataFrame, source: str = "source_file", text: str = "text", limit: int = C.BUDGET, tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
@@ -41,17 +47,32 @@ def packed_chunks(docs: DataFrame, source: str = "source_file", text: str = "tex
     return spread.select(source, "chunk_index", F.col("__c.chunk").alias("chunk"), F.col("__c.n").alias("n_tokens"))
 
 
-def char_chunks(docs: DataFrame, path: str = "file_path", text: str = "text", size: int = 1200, overlap: int = 150, entities: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Overlapping chunks of cleaned texts with their sensitive terms and metadata."""
-    cut = docs.select(path, C.char_windows(T.clean_text(F.col(text)), size, overlap).alias("__w"))
-    spread = cut.select(path, F.size("__w").alias("__n"), F.posexplode("__w").alias("chunk_index", "text"))
+def char_chunks(
+    docs: DataFrame,
+    path: str = "file_path",
+    text: str = "text",
+    size: int = 1200,
+    overlap: int = 150,
+    entities: Callable[[Column], Column] | None = T.entities,
+    splitter: Callable[[str | None, int, int], list[str]] = C.windows,
+) -> DataFrame:
+    """Overlapping chunks of cleaned texts with their sensitive terms and metadata.
+
+    A document that can't be split is one row with its error and no chunk; others are not affected.
+    Blank documents have no rows. ``entities`` recognises names in a chunk; None leaves them out.
+    """
+    cut = docs.select(path, C.char_windows(T.clean_text(F.col(text)), size, overlap, splitter).alias("__w"))
+    # An error stands for a window, so that its row outlives the explode.
+    shown = F.when(F.col("__w.error").isNull(), F.col("__w.windows")).otherwise(F.array(F.lit(None).cast("string")))
+    spread = cut.select(path, F.size("__w.windows").alias("__n"), F.col("__w.error").alias("error"), F.posexplode(shown).alias("chunk_index", "text"))
     found = entities(F.col("text")) if entities else None
     return spread.select(
         path,
-        "chunk_index",
+        F.when(F.col("error").isNull(), F.col("chunk_index")).alias("chunk_index"),
         "text",
         T.sensitive_terms(F.col("text"), found).alias("sensitive_terms"),
         F.struct(T.base_name(F.col(path).cast("string")).alias("source"), F.length("text").alias("chunk_length"), F.col("__n").alias("total_chunks")).alias("metadata"),
+        "error",
     )
 
 
@@ -89,8 +110,3 @@ def vector_literal(vector: Column) -> Column:
     """A vector as ``[a,b,...]``."""
     return F.to_json(vector)
 
-
-def numbered(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows with their number in a key, from 0, and the key's total."""
-    w = Window.partitionBy(key)
-    return rows.withColumn("index", F.row_number().over(w.orderBy(order)) - 1).withColumn("total", F.count(F.lit(1)).over(w))

@@ -23,7 +23,7 @@ class TooLong(Exception):
 
 @functools.lru_cache(1 << 16)
 def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big")
 
 
 class HashedWords:
@@ -106,12 +106,6 @@ def mean_pool(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     return spread.groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def pooled(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """Mean vector of each key as an array."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "mean")))
-    return mean_pool(vectors, key, vector).groupBy(key).agg(F.transform(rows, lambda x: x["mean"]).alias("embedding"))
-
-
 def dot(a: Column, b: Column) -> Column:
     wide = lambda x, y: x.cast("double") * y.cast("double")
     return F.aggregate(F.zip_with(a, b, wide), F.lit(0.0), lambda s, x: s + x)
@@ -125,15 +119,22 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 
 def search(vectors: DataFrame, query: list[float], k: int | None, key: str = "vec_id") -> DataFrame:
-    """The ``k`` nearest by cosine distance, ties to the smaller key, zero vectors last; no rows for a null ``k`` or an empty query."""
+    """The ``k`` nearest by cosine distance, ties to the smaller key, zero vectors last; no rows for a null ``k`` or an empty query.
+
+    The order is that of the distances as computed; the result has them to 6 digits.
+    """
     at = F.array(*(F.lit(float(x)) for x in query)) if query else F.lit(None).cast("array<double>")
-    found = vectors.withColumn("distance", F.round(cosine_distance(F.col("embedding"), at), 6) + F.lit(0.0))
-    return found.orderBy(F.col("distance").asc_nulls_last(), key).limit(k if k and query else 0)
+    found = vectors.withColumn("distance", cosine_distance(F.col("embedding"), at)).orderBy(F.col("distance").asc_nulls_last(), key)
+    return found.limit(k if k and query else 0).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int | None, key: str = "vec_id", query: str = "query_id", slice_mb: int = 32) -> DataFrame:
     """The ``k`` nearest of each query: ``query``, rank (from 1), ``key`` and distance, to 6 digits.
 
+    Ranks go by the distance as computed, then by key. A matrix product, in which equal vectors may
+    get distances that differ in the last bit, only tells which vectors can be among the nearest;
+    their distances are then summed one by one.
+
     ``queries`` has ``query`` and embedding. They go to the executors in slices of ``slice_mb`` at
     most, and each task returns its own ``k`` best of each, so the vectors are never shuffled. A task
     holds about ``CELLS`` distances at a time, however many queries and vectors it has. No rows for a
@@ -165,13 +166,18 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int | None, key: str
                 for at in range(0, len(names), step):
                     norm = np.outer(qn[at : at + step], vn)
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        d = np.where(norm > 0, np.round(1 - (q[at : at + step] @ v.T) / norm, 6) + 0.0, np.inf)
-                    for j, row in enumerate(d, at):
+                        rough = np.where(norm > 0, 1 - (q[at : at + step] @ v.T) / norm, np.inf)
+                    for j, row in enumerate(rough, at):
+                        last = best[j][-1][0] if len(best[j]) == k else np.inf
+                        if len(row) > k:
+                            last = min(last, np.partition(row, k - 1)[k - 1])
                         # Ties with the present k-th may still win by a smaller key.
-                        near = np.flatnonzero(row <= best[j][-1][0]) if len(best[j]) == k else np.arange(len(row))
+                        near = np.flatnonzero(row <= last + 1e-9)
                         if len(near):
-                            top = near[np.lexsort((ids[near], row[near]))[:k]]
-                            best[j] = sorted(best[j] + list(zip(row[top].tolist(), ids[top].tolist(), strict=True)))[:k]
+                            with np.errstate(invalid="ignore", divide="ignore"):
+                                d = np.where(norm[j - at, near] > 0, 1 - (v[near] * q[j]).sum(axis=1) / (vn[near] * qn[j]), np.inf)
+                            top = np.lexsort((ids[near], d))[:k]
+                            best[j] = sorted(best[j] + list(zip(d[top].tolist(), ids[near[top]].tolist(), strict=True)))[:k]
             n = [len(x) for x in best]
             flat = [x for y in best for x in y]
             if flat:
@@ -179,4 +185,5 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int | None, key: str
 
         found = found.unionByName(rows.mapInArrow(run, found.schema))
     order = Window.partitionBy(query).orderBy(F.col("distance").asc_nulls_last(), key)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (k or 0)).select(query, "rank", key, "distance")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (k or 0))
+    return ranked.select(query, "rank", key, (F.round("distance", 6) + F.lit(0.0)).alias("distance"))

@@ -22,6 +22,11 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+# What stands around tables and before texts of images.
+TABLE = "\n---\n**Table:**\n"
+TABLE_END = "\n---\n"
+IMAGE = "\n📷 **Image Text:**\n> "
+
 BLOCKS = "array<struct<kind:string,style:string,listed:boolean,text:string,cells:array<array<string>>>>"
 
 
@@ -96,6 +101,59 @@ def parse_blocks(content: bytes, ocr: Callable[[bytes], str] = no_ocr, skip_imag
     return out
 
 
+def package(blocks_: list[dict]) -> bytes:
+    """A DOCX file of paragraphs and tables: what :func:`parse_blocks` reads, with or without style and list mark."""
+    ElementTree.register_namespace("w", W[1:-1])
+    document = ElementTree.Element(W + "document")
+    body = ElementTree.SubElement(document, W + "body")
+    names: dict[str, str] = {}
+
+    def paragraph(parent: ElementTree.Element, text: str, style: str = "", listed: bool = False) -> None:
+        p = ElementTree.SubElement(parent, W + "p")
+        if style or listed:
+            props = ElementTree.SubElement(p, W + "pPr")
+            if style:
+                ElementTree.SubElement(props, W + "pStyle", {W + "val": names.setdefault(style, f"S{len(names)}")})
+            if listed:
+                ElementTree.SubElement(props, W + "numPr")
+        run = ElementTree.SubElement(p, W + "r")
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                ElementTree.SubElement(run, W + "br")
+            ElementTree.SubElement(run, W + "t", {"{http://www.w3.org/XML/1998/namespace}space": "preserve"}).text = line
+
+    for b in blocks_:
+        if b["kind"] == "table":
+            table = ElementTree.SubElement(body, W + "tbl")
+            for row in b["cells"]:
+                line = ElementTree.SubElement(table, W + "tr")
+                for cell in row:
+                    paragraph(ElementTree.SubElement(line, W + "tc"), cell)
+        else:
+            paragraph(body, b["text"] or "", b["style"] or "", bool(b["listed"]))
+    ElementTree.SubElement(body, W + "sectPr")
+    styles = ElementTree.Element(W + "styles")
+    for name, own in names.items():
+        ElementTree.SubElement(ElementTree.SubElement(styles, W + "style", {W + "styleId": own}), W + "name", {W + "val": name})
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/styles.xml", ElementTree.tostring(styles))
+        z.writestr("word/document.xml", ElementTree.tostring(document))
+    return out.getvalue()
+
+
+def packaged(rows: DataFrame, blocks_: str = "blocks") -> DataFrame:
+    """``rows`` with the DOCX file of their blocks as content instead."""
+    keep = [f for f in rows.schema if f.name != blocks_]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep) + ", content binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.drop(columns=blocks_).assign(content=[package([{**b, "cells": [list(r) for r in b["cells"]]} for b in x]) for x in pdf[blocks_]])
+
+    return rows.select(*(f.name for f in keep), blocks_).mapInPandas(run, schema)
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     """DOCX files below ``folder``: file_path, file_name, folder and content; none if there is no such folder.
 
@@ -145,8 +203,8 @@ def render(blocks_: Column) -> Column:
         heading = F.concat(F.lit("\n"), F.repeat(F.lit("#"), level), F.lit(" "), b["text"], F.lit("\n"))
         rows = F.array_join(F.transform(b["cells"], lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n")
         return (
-            F.when(b["kind"] == "table", F.concat_ws("\n", F.lit("\n---\n**Table:**"), F.when(F.size(b["cells"]) > 0, rows), F.lit("---\n")))
-            .when(b["kind"] == "image", F.concat(F.lit("\n[Image text]\n> "), b["text"], F.lit("\n")))
+            F.when(b["kind"] == "table", F.concat_ws("\n", F.lit(TABLE), F.when(F.size(b["cells"]) > 0, rows), F.lit(TABLE_END)))
+            .when(b["kind"] == "image", F.concat(F.lit(IMAGE), b["text"], F.lit("\n")))
             .when(b["style"].contains("heading"), heading)
             .when(b["listed"], F.concat(F.lit("- "), b["text"]))
             .otherwise(b["text"])

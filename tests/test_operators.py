@@ -2,6 +2,7 @@
 
 import collections
 import io
+import math
 import random
 import zipfile
 
@@ -139,6 +140,25 @@ def test_search(spark):
     assert V.search_batch(df, queries, None).count() == 0
 
 
+def test_search_ranks_by_distances_as_computed(spark):
+    """A vector equal to the query comes before one that differs by less than the rounding, whatever their ids."""
+    df = spark.createDataFrame([(1, [math.cos(0.001), math.sin(0.001)]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert [tuple(r) for r in V.search(df, [1.0, 0.0], 2).select("vec_id", "distance").collect()] == [(3, 0.0), (1, 0.0)]
+    batch = V.search_batch(df, spark.createDataFrame([(9, [1.0, 0.0])], "query_id bigint, embedding array<double>"), 2)
+    assert [(r["vec_id"], r["distance"]) for r in batch.orderBy("rank").collect()] == [(3, 0.0), (1, 0.0)]
+
+
+def test_search_batch_ties_of_equal_vectors(spark):
+    """Many equal vectors, in batches of odd sizes: the smallest keys win, though a matrix product may differ in the last bit."""
+    r = np.random.RandomState(1)
+    base = r.standard_normal((3, 64)).astype(np.float32)
+    rows = [(i, base[i % 3].tolist()) for i in range(997)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(3)
+    got = V.search_batch(df, spark.createDataFrame([(q, (base[q] + 0.01).tolist()) for q in range(3)], "query_id bigint, embedding array<float>"), 6)
+    have = {q: [x["vec_id"] for x in got.where(f"query_id = {q}").orderBy("rank").collect()] for q in range(3)}
+    assert have == {q: [q + 3 * i for i in range(6)] for q in range(3)}
+
+
 def test_search_batch_in_slices(spark):
     """All rows whose id is divisible by 50 as queries, 300 times over, so that they go out in two slices."""
     r = np.random.RandomState(4)
@@ -240,6 +260,141 @@ def test_texts_json_and_stream(spark, tmp_path):
     assert [(r["source_file"], r["chunk"], len(r["embedding"])) for r in got] == [("a.txt", "one. two.", 64)]
     named = spark.createDataFrame([("a", "text", None), ("b", None, "e")], "file_name string, text string, error string")
     assert [r[0] for r in store.export_texts(named, str(tmp_path / "exp")).collect()] == ["a"]
+    assert [(p.name, p.read_text()) for p in (tmp_path / "exp").iterdir()] == [("a.txt", "text")]
+    listed = store.objects(spark, str(tmp_path)).collect()
+    assert ("exp/a.txt", 4) in {(r["key"], r["length"]) for r in listed}
+
+
+def test_store_operations(spark, tmp_path):
+    path = str(tmp_path / "v")
+    made = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [])], "chunk string, embedding array<float>")
+    with pytest.raises(Exception, match="3 dimensions but 2"):
+        store.store_vectors(made, path, dims=3)
+    assert store.store_vectors(made, path, dims=2)["inserted"] == 1
+    own = store.insert_one(spark, path, "c", [3, 4], {"source_file": "x"})
+    rows = {r["chunk"]: r for r in store.read_vectors(spark, path).collect()}
+    assert set(rows) == {"a", "c"} and rows["c"]["vec_id"] == own and rows["c"]["metadata"] == '{"source_file": "x"}' and rows["c"]["embedding"] == [3.0, 4.0]
+    filled = store.with_defaults(spark.createDataFrame([(None,)], "chunk string"), store.chunk_defaults()).first()
+    assert (filled["chunk"], filled["embedding"], filled["metadata"]) == ("", [], "{}")
+    bad = store.put_files(spark.createDataFrame([("a/b", b"x"), ("a", b"y")], "key string, content binary").coalesce(1), str(tmp_path / "f")).collect()
+    assert [r["error"] is None for r in bad] == [True, False]
+
+
+def test_folders_and_listing(spark, tmp_path):
+    keys = spark.createDataFrame([("a/",), ("a/b.docx",), ("/",)], "key string")
+    assert [r["key"] for r in D.without_folders(keys).collect()] == ["a/b.docx"]
+    (tmp_path / "x/y").mkdir(parents=True)
+    (tmp_path / "x/y/z.bin").write_bytes(b"123")
+    assert [(r["key"], r["length"]) for r in store.objects(spark, f"file://{tmp_path}").collect()] == [("x/y/z.bin", 3)]
+
+
+def test_entities(spark):
+    found = one(spark, "Dr. Ada Byron of Blue Widgets GmbH and Mr Smith met in Paris, not in Parisian. AG", lambda c: T.entities(c, ["Paris", "New York"]))
+    assert found == ["Dr. Ada Byron", "Mr Smith", "Blue Widgets GmbH", "Paris"]
+    assert one(spark, "no names here", T.entities) == [] and one(spark, None, T.entities) is None
+    docs = spark.createDataFrame([("a", "Acme Group pays."), ("b", None), ("c", "")], "file_path string, text string")
+    assert [(r["file_path"], r["sensitive_terms"]) for r in D.char_chunks(docs).collect()] == [("a", ["Acme Group"])]
+
+
+def test_chunk_errors_are_isolated(spark):
+    def fragile(text, size, overlap):
+        return [text[0], 1 / (len(text) - 3)] and [text]
+
+    docs = spark.createDataFrame([("a", "good text"), ("b", "bad"), ("c", None)], "file_path string, text string")
+    got = {r["file_path"]: (r["chunk_index"], r["text"], r["error"]) for r in D.char_chunks(docs, splitter=fragile).collect()}
+    assert got["a"] == (0, "good text", None) and got["b"] == (None, None, "ZeroDivisionError: division by zero") and got["c"][2].startswith("TypeError")
+
+
+def test_redaction_by_a_model(spark):
+    def model():
+        return lambda prompt: 1 / 0 if "bad" in prompt else prompt.split("Text:\n")[1].split("\n\nRewritten")[0].replace("Acme", "[REDACTED]")
+
+    docs = spark.createDataFrame([("a", "Acme pays", None), ("b", "bad", None), ("c", None, None), ("d", "Acme", "unread")], "file_name string, text string, error string")
+    got = {r["file_name"]: (r["text"], r["error"]) for r in rag.redact_by_model(docs, model, ["Oracle"]).collect()}
+    assert got == {"a": ("[REDACTED] pays", None), "b": (None, "ZeroDivisionError: division by zero"), "c": (None, None), "d": (None, "unread")}
+    assert "Leave these names as they are: Keep." in one(spark, "x", lambda c: rag.redaction_prompt(c, ["Keep"]))
+
+
+def test_halving_has_no_bound(spark):
+    """Sentences far above the limit times any fixed number of rounds, against the plain recursion."""
+
+    def plain(n, limit):
+        return [n] if n <= limit else plain(n // 2, limit) + plain(n - n // 2, limit)
+
+    for n, limit in ((901, 450), (3001, 1), (1, 1), (5, 2), (4096, 3)):
+        assert [k for k, _ in chunk(spark, words(n), limit)] == [x for x in packed_sizes(plain(n, limit), limit)]
+
+
+def packed_sizes(sizes, limit):
+    out = []
+    for n in sizes:
+        if out and out[-1] + n <= limit:
+            out[-1] += n
+        else:
+            out.append(n)
+    return out
+
+
+def test_sentences_keep_every_sign(spark):
+    assert one(spark, "a\u0001b. c\u0001d", T.sentences) == ["a\u0001b.", "c\u0001d"]
+    for text in ("a b\tc", " a ", "", "\n", "don't, stop"):
+        got = spark.createDataFrame([(text,)], "t string").select(T.token_count(F.col("t")), F.size(T.tokens(F.col("t"))), T.word_count(F.col("t")), F.size(T.words(F.col("t")))).first()
+        assert got[0] == got[1] and got[2] == got[3]
+
+
+def plain_windows(text, size, overlap):
+    """The splitter written out anew: atoms as (start, end, level of the split), then greedy windows for each stretch of one split."""
+    seps = ["\n\n", "\n", ".", "!", "?", ";", ",", " ", ""]
+
+    def split(a, b, level):
+        part = text[a:b]
+        while seps[level] and seps[level] not in part:
+            level += 1
+        sep = seps[level]
+        if not sep:
+            return [(i, i + 1) for i in range(a, b)], None
+        cuts, at = [a], a
+        while (at := text.find(sep, at, b)) >= 0:
+            cuts.append(at)
+            at += len(sep)
+        return [(x, y) for x, y in zip(cuts, cuts[1:] + [b]) if y > x], level + 1
+
+    def stretch(atoms):
+        out, first = [], 0
+        for i in range(len(atoms)):
+            if i > first and atoms[i][1] - atoms[first][0] > size:
+                out.append((atoms[first][0], atoms[i - 1][1]))
+                while first < i and (atoms[i - 1][1] - atoms[first][0] > overlap or atoms[i][1] - atoms[first][0] > size):
+                    first += 1
+        return [*out, (atoms[first][0], atoms[-1][1])] if atoms else out
+
+    def walk(a, b, level):
+        atoms, weaker = split(a, b, level)
+        out, run = [], []
+        for x in [*atoms, None]:
+            if x is None or x[1] - x[0] >= size:
+                out += stretch(run)
+                run = []
+                if x:
+                    out += [x] if weaker is None else walk(*x, weaker)
+            else:
+                run.append(x)
+        return out
+
+    return [w for x, y in (walk(0, len(text), 0) if text else []) if (w := text[x:y].strip())]
+
+
+def test_windows_equal_a_plain_splitter(spark):
+    r = random.Random(21)
+    for size, overlap in ((60, 10), (25, 24), (7, 0), (1, 0)):
+        for _ in range(150):
+            t = "".join(r.choice(["a", "bc ", ". ", "\n", "\n\n", "\n\n\n", ", ", "!", "?;", "x" * r.randint(1, 90)]) for _ in range(r.randint(0, 120)))
+            assert C.windows(t, size, overlap) == plain_windows(t, size, overlap), (t, size, overlap)
+    got = collections.defaultdict(list)
+    for row in registry.char_chunks(spark, "/root/testdata/sf0.001").orderBy("file_path", "chunk_index").collect():
+        got[row["file_path"]].append(row["text"])
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", T.clean_text(F.col("text")).alias("t")).collect()
+    assert {k: v for k, v in got.items()} == {str(x["doc_id"]): plain_windows(x["t"], 1200, 150) for x in docs if x["t"]}
 
 
 def test_settings(monkeypatch):
