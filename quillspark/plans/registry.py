@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions import chunks as C
 from quillspark.functions import text as T
 from quillspark.operators import documents as D
 from quillspark.operators import rag
 from quillspark.operators import vectors as V
+from quillspark.sources import docx, store
 
 #: Terms of the redaction query; the first is allowed to stay.
 TERMS = ["the", "ererthan", "license", "tion", "apache"]
 KEEP = ["the"]
 BUDGET = 450
-BATCH = 20
+#: Rows whose id is divisible by this are the queries of the batched search.
+EVERY = 50
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +30,21 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.clean_ascii(F.col("text")).alias("text"))
 
 
+ASCII = "".join(map(chr, range(0x21, 0x7F)))
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in ASCII)
+
+
 def clean_text(spark, d):
-    return cleaned(spark, d).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+    """Texts in wide forms, which cleaning has to turn back."""
+    wide = table(spark, d, "documents").select("doc_id", F.translate("text", ASCII, WIDE).alias("text"))
+    cleaned_ = wide.select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    return cleaned_.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 def normalized_text(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
+    """Texts with ligatures and unbreakable blanks, which cleaning has to turn back."""
+    odd = F.translate(F.regexp_replace("text", "fi", "\ufb01"), " ", "\u00a0")
+    docs = table(spark, d, "documents").select("doc_id", T.clean_text(odd).alias("text"))
     return docs.select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
@@ -72,12 +84,33 @@ def pii_emails(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(T.emails(F.col("text"))).cast("bigint").alias("n_emails"))
 
 
-def pii_phones(spark, d):
-    return cleaned(spark, d).select("doc_id", F.array_join(T.phones(F.col("text")), ",").alias("phones"))
+def _notes(spark, d):
+    """Orders as notes with numbers and codes of several lengths."""
+    k = F.col("o_orderkey").cast("string")
+    text = F.concat(F.lit("Call "), F.lpad(k, 10, "7"), F.lit(" or "), F.lpad(k, 11, "7"), F.lit(", not x"), F.lpad(k, 10, "1"), F.lit("; see ORD"), k, F.lit(", O"), k, F.lit(" and INT"), k, F.lit("b."))
+    return table(spark, d, "orders").select("o_orderkey", text.alias("text"))
+
+
+def order_phones(spark, d):
+    return _notes(spark, d).select("o_orderkey", F.array_join(T.phones(F.col("text")), ",").alias("phones"))
+
 
+def order_codes(spark, d):
+    return _notes(spark, d).select("o_orderkey", F.array_join(T.codes(F.col("text")), ",").alias("codes"))
 
-def pii_codes(spark, d):
-    return cleaned(spark, d).select("doc_id", F.array_join(T.codes(F.col("text")), ",").alias("codes"))
+
+def named_entities(spark, d):
+    """Sensitive terms of letters that name persons, organisations and places."""
+    k = F.col("c_custkey")
+    form = F.element_at(F.array(*map(F.lit, ("GmbH", "Inc", "Trading"))), F.pmod(k, F.lit(3)).cast("int") + 1)
+    who = F.when(k % 2 == 0, F.lit("Dr. Ada Byron")).otherwise(F.lit("Herr Otto"))
+    text = F.concat(who, F.lit(" of "), F.initcap("c_mktsegment"), F.lit(" Supplies "), form, F.lit(" wrote to b"), k.cast("string"), F.lit("@x.org from NATION_"), F.col("c_nationkey").cast("string"), F.lit("."))
+    found = T.sensitive_terms(text, T.entities(text, PLACES))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(found, ",").alias("terms"))
+
+
+#: Places that the query's recogniser knows.
+PLACES = [f"NATION_{i}" for i in range(0, 25, 2)]
 
 
 def sensitive_terms(spark, d):
@@ -90,12 +123,10 @@ def redact_terms(spark, d):
 
 
 def token_counts(spark, d):
-    return cleaned(spark, d).select("doc_id", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"), F.size(T.words(F.col("text"))).cast("bigint").alias("n_words"))
+    return cleaned(spark, d).select("doc_id", T.token_count(F.col("text")).cast("bigint").alias("n_tokens"), T.word_count(F.col("text")).cast("bigint").alias("n_words"))
 
 
 def sentence_parts(spark, d):
-    from quillspark.functions import chunks as C
-
     spread = cleaned(spark, d).select("doc_id", F.posexplode(C.parts(F.col("text"), BUDGET)).alias("part_no", "p"))
     return spread.select("doc_id", F.col("part_no").cast("bigint").alias("part_no"), F.col("p.n").cast("bigint").alias("n_tokens"), F.md5(F.col("p.part").cast("binary")).alias("part_md5"))
 
@@ -106,8 +137,6 @@ def sentence_chunks(spark, d):
 
 
 def chunk_counts(spark, d):
-    from quillspark.functions import chunks as C
-
     # The pieces are a column of their own: an expression would be evaluated again at every use.
     pieces = cleaned(spark, d).select("doc_id", C.parts(F.col("text"), BUDGET).alias("pieces"))
     return pieces.select("doc_id", F.size(C.packed(F.col("pieces"), BUDGET)).cast("bigint").alias("n_chunks"))
@@ -118,24 +147,210 @@ def char_chunks(spark, d):
     return D.char_chunks(docs).select("file_path", "chunk_index", "text", F.array_join("sensitive_terms", ",").alias("terms"), F.col("metadata.chunk_length").alias("chunk_length"), F.col("metadata.total_chunks").alias("total_chunks"))
 
 
-def _marks(html, tag):
-    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1))
+def chunk_errors(spark, d):
+    """A splitter that fails on some documents: their errors, and chunks of all others."""
+
+    def fragile(text, size, overlap):
+        if text and len(text) % 7 == 3:
+            raise ValueError("odd")
+        return C.windows(text, size, overlap)
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    found = D.char_chunks(docs, splitter=fragile, entities=None).groupBy("file_path")
+    return found.agg(F.max("error").alias("error"), (F.count("text") > 0).alias("has_chunks"))
+
+
+BLOCK = "struct<kind:string,style:string,listed:boolean,text:string,cells:array<array<string>>>"
+
+
+def docx_contents(spark, d):
+    """A DOCX file for each supplier: headings, list items, a plain and a blank paragraph and a table."""
+    k, name = F.col("s_suppkey").cast("string"), F.col("s_name")
+    none = F.array().cast("array<array<string>>")
+
+    def block(kind, text, style="", listed=False, cells=none):
+        return F.struct(F.lit(kind).alias("kind"), (F.lit(style) if isinstance(style, str) else style).alias("style"), F.lit(listed).alias("listed"), text.alias("text"), cells.alias("cells")).cast(BLOCK)
+
+    cells = F.array(F.array(F.lit("Key"), F.lit("Name")), F.array(k, F.concat(F.lit(" "), name, F.lit("\npart "))), F.array(F.lit(""), F.lit("x")))
+    blocks = F.array(
+        block("p", name, F.concat(F.lit("Heading "), (F.col("s_suppkey") % 6 + 1).cast("string"))),
+        block("p", F.lit("Account"), "Heading"),
+        block("p", F.concat(F.lit("balance "), F.floor("s_acctbal").cast("string")), listed=True),
+        block("p", F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")), listed=True),
+        block("p", F.concat(F.lit("  padded "), k, F.lit(" "))),
+        block("p", F.lit(" ")),
+        block("table", F.lit(""), cells=cells),
+        block("p", F.lit("end")),
+    )
+    return docx.packaged(table(spark, d, "supplier").select("s_suppkey", blocks.alias("blocks")))
+
+
+def docx_rendered(spark, d):
+    return docx.blocks(docx_contents(spark, d)).select("s_suppkey", docx.render(F.col("blocks")).alias("text"))
+
+
+def docx_text(spark, d):
+    return docx_rendered(spark, d).select("s_suppkey", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("bigint").alias("n_chars"))
+
+
+def docx_headings(spark, d):
+    return docx_rendered(spark, d).select("s_suppkey", F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^#+ [^\n]*"), F.lit(0)), "|").alias("lines"))
+
+
+def docx_bullets(spark, d):
+    return docx_rendered(spark, d).select("s_suppkey", F.array_join(F.regexp_extract_all("text", F.lit(r"(?m)^- [^\n]*"), F.lit(0)), "|").alias("lines"))
+
+
+def docx_tables(spark, d):
+    return docx_rendered(spark, d).select("s_suppkey", F.regexp_extract("text", r"(?s)\n---.*\n---\n", 0).alias("lines"))
+
+
+def docx_flat(spark, d):
+    return docx.blocks(docx_contents(spark, d)).select("s_suppkey", docx.flat_text(F.col("blocks")).alias("text"))
+
+
+def docx_errors(spark, d):
+    """Every seventh file is no DOCX file: it has an error and no text, and the others are not affected."""
+    broken = F.when(F.col("s_suppkey") % 7 == 0, F.lit("no file").cast("binary")).otherwise(F.col("content"))
+    found = docx.blocks(docx_contents(spark, d).withColumn("content", broken))
+    return found.select("s_suppkey", F.col("error").isNotNull().alias("failed"), F.coalesce(F.length(docx.render(F.col("blocks"))) > 0, F.lit(False)).alias("has_text"))
+
+
+def written_files(files, folder):
+    """Writes files and tells their folder; one that can't be written is an error."""
+    bad = store.put_files(files, folder).where("error IS NOT NULL").first()
+    if bad:
+        raise RuntimeError(f"{bad['key']}: {bad['error']}")
+    return folder
+
+
+def docx_files(spark, d):
+    """Files in folders, with lock files, other endings and names that occur twice, scanned and extracted."""
+    k = F.col("s_suppkey")
+    folder = F.when(k % 2 == 0, F.lit("a/")).otherwise(F.lit("b/c/"))
+    name = F.concat(F.when(k % 5 == 0, F.lit("~$")).otherwise(F.lit("")), F.lit("s"), F.floor(k / 2).cast("string"), F.when(k % 7 == 3, F.lit(".doc")).when(F.floor(k / 2) % 2 == 0, F.lit(".DOCX")).otherwise(F.lit(".docx")))
+    at = written_files(docx_contents(spark, d).select(F.concat(folder, name).alias("key"), "content"), store.scratch(spark, "docx"))
+    return docx.extract(docx.scan(spark, at)).select("file_name", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.col("error").isNotNull().alias("failed"))
+
+
+def docx_folders(spark, d):
+    """Folder of every scanned file, relative to the scanned one."""
+    k = F.col("s_suppkey")
+    folder = F.when(k % 3 == 0, F.lit("a/")).when(k % 3 == 1, F.lit("b/c/")).otherwise(F.lit(""))
+    at = written_files(docx_contents(spark, d).select(F.concat(folder, F.lit("f"), k.cast("string"), F.lit(".docx")).alias("key"), "content"), store.scratch(spark, "docx") + "/root")
+    return docx.scan(spark, at).select("file_name", "folder")
 
 
-def blocks_headings(spark, d):
-    spread = table(spark, d, "pages").select("page_id", F.posexplode(_marks(F.col("html"), "h1")).alias("n", "h"))
-    return spread.select("page_id", F.col("n").cast("bigint").alias("n"), F.concat(F.lit("# "), T.strip(F.col("h"))).alias("line"))
+def object_listing(spark, d):
+    """Questions as objects of a store: their keys and lengths as listed."""
+    files = table(spark, d, "benchmark").select(F.concat(F.lit("q/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("key"), F.col("text").cast("binary").alias("content"))
+    return store.objects(spark, written_files(files, store.scratch(spark, "objects"))).select("key", "length")
 
 
-def blocks_bullets(spark, d):
-    items = F.transform(_marks(F.col("html"), "li"), lambda x: F.concat(F.lit("- "), T.strip(F.regexp_replace(x, "<[^>]*>", ""))))
-    return table(spark, d, "pages").select("page_id", F.size(items).cast("bigint").alias("n_items"), F.array_join(items, "\n").alias("lines"))
+def folder_keys(spark, d):
+    keys = table(spark, d, "pages").select("page_id", F.concat(F.lit("in/"), F.col("page_id").cast("string"), F.when(F.col("page_id") % 3 == 0, F.lit("/")).otherwise(F.lit("/x.docx"))).alias("key"))
+    return D.without_folders(keys)
 
 
-def blocks_tables(spark, d):
-    """Rows of page tables as piped lines."""
-    rows = F.transform(_marks(F.col("html"), "tr"), lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), T.strip), " | "), F.lit(" |")))
-    return table(spark, d, "pages").select("page_id", F.size(rows).cast("bigint").alias("n_rows"), F.array_join(rows, "\n").alias("lines"))
+def _names(spark, d, ends):
+    k = F.col("p_partkey")
+    end = F.element_at(F.array(*map(F.lit, ends)), F.pmod(k, F.lit(len(ends))).cast("int") + 1)
+    return table(spark, d, "part").select("p_partkey", F.concat(F.when(k % 4 == 0, F.lit("~$")).otherwise(F.lit("")), F.lit("part "), k.cast("string"), end).alias("file_name"))
+
+
+def docx_names(spark, d):
+    return D.with_suffix(_names(spark, d, (".docx", ".DOCX", ".doc")), ".docx")
+
+
+def txt_names(spark, d):
+    return D.with_suffix(_names(spark, d, (".txt", ".TXT", ".text")), ".txt", ignore_case=False)
+
+
+def text_files(spark, d):
+    """Questions written as one file each, with others that don't count, and read again."""
+    k = F.col("item_id")
+    rows = table(spark, d, "benchmark").select(F.concat(F.lit("q"), k.cast("string")).alias("file_name"), F.when(k % 5 == 0, F.lit(" \n\t ")).otherwise(F.concat(F.lit("\n "), "text", F.lit(" \n"))).alias("text"), F.when(k % 7 == 0, F.lit("failed")).alias("error"))
+    at = store.scratch(spark, "texts")
+    store.export_texts(rows, at).where("error IS NOT NULL").count()
+    written_files(rows.select(F.concat("file_name", F.lit(".TXT")).alias("key"), F.lit("other").cast("binary").alias("content")), at)
+    return store.read_texts(spark, at).select("source_file", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def json_source(spark, d):
+    """Questions as one JSON array, some without a chunk or an embedding, read by schema and with defaults."""
+    k = F.col("item_id")
+    row = F.struct(F.concat(F.lit("q"), k.cast("string")).alias("source_file"), F.when(k % 3 != 0, F.col("text")).alias("chunk"), F.when(k % 2 == 0, F.array(k.cast("float"), F.lit(0.5).cast("float"))).alias("embedding"))
+    # One row of bounded size: the benchmark's questions.
+    array = table(spark, d, "benchmark").agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.to_json(row)), ","), F.lit("]")).alias("value"))
+    at = store.scratch(spark, "json")
+    array.coalesce(1).write.text(at)
+    read = store.with_defaults(store.read_json(spark, at), store.chunk_defaults())
+    return read.select("source_file", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"), F.size("embedding").cast("bigint").alias("dims"), "metadata")
+
+
+def json_defaults(spark, d):
+    """Events as JSON text with keys that are there, null or missing."""
+    k = F.col("event_id")
+    text = F.when(k % 3 == 0, F.concat(F.lit('{"chunk": "c'), k.cast("string"), F.lit('", "metadata": "m"}'))).when(k % 3 == 1, F.lit('{"chunk": null}')).otherwise(F.lit("{}"))
+    rows = table(spark, d, "events").select("event_id", F.from_json(text, store.CHUNK_SCHEMA).alias("r")).select("event_id", "r.*")
+    found = store.with_defaults(rows, store.chunk_defaults())
+    return found.select("event_id", "chunk", "metadata", F.size("embedding").cast("bigint").alias("dims"))
+
+
+def attempted_texts(spark, d):
+    """Texts of which some are null or blank: a value or an error each."""
+    k = F.col("doc_id")
+    text = F.when(k % 4 == 0, F.lit(" \t\n\r")).when(k % 4 == 1, F.lit("")).when(k % 4 == 2, F.lit(None)).otherwise(F.col("text"))
+    found = D.attempt(table(spark, d, "documents").select("doc_id", text.alias("text")), T.clean_ascii)
+    return found.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "error")
+
+
+def odd_vectors(spark, d):
+    """Vectors of which some are null and some empty, as embedded chunks."""
+    k = F.col("vec_id")
+    vector = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.array().cast("array<float>")).otherwise(F.col("embedding"))
+    return table(spark, d, "embeddings").select(F.concat(F.lit("f"), F.floor(k / 4).cast("string")).alias("source_file"), (k % 4).cast("int").alias("chunk_index"), F.concat(F.lit("chunk "), k.cast("string")).alias("chunk"), vector.alias("embedding"), "vec_id")
+
+
+def valid_vectors(spark, d):
+    return V.storable(odd_vectors(spark, d)).select("vec_id", F.size("embedding").cast("bigint").alias("dims"))
+
+
+def vector_store(spark, d):
+    """Vectors stored twice, the second time without effect, and scanned."""
+    at = store.scratch(spark, "vectors")
+    for _ in range(2):
+        store.store_vectors(odd_vectors(spark, d), at, once=True, dims=64)
+    return store.read_vectors(spark, at).select("chunk", "metadata", F.size("embedding").cast("bigint").alias("dims"))
+
+
+def store_counts(spark, d):
+    counts = store.store_vectors(odd_vectors(spark, d), store.scratch(spark, "vectors"))
+    return spark.createDataFrame([(counts["inserted"], counts["skipped"], counts["total"])], "inserted bigint, skipped bigint, total bigint")
+
+
+def vector_literals(spark, d):
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int"))
+    return table(spark, d, "embeddings").select("vec_id", D.vector_literal(whole).alias("literal"))
+
+
+def redaction_prompts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.md5(rag.redaction_prompt(F.col("text"), KEEP).cast("binary")).alias("prompt_md5"))
+
+
+def redacted_by_model(spark, d):
+    """A stand-in for a model that answers with the prompt's length, and fails on some texts."""
+
+    def model():
+        def answer(prompt):
+            if len(prompt) % 5 == 0:
+                raise ValueError("busy")
+            return str(len(prompt))
+
+        return answer
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 9 == 0, F.lit("unread")).alias("error"))
+    return rag.redact_by_model(docs, model, KEEP)
 
 
 def mean_pool(spark, d):
@@ -143,22 +358,25 @@ def mean_pool(spark, d):
     return out.select("label", F.col("pos").cast("bigint").alias("pos"), (F.round("mean", 6) + F.lit(0.0)).alias("mean"))
 
 
+def embedded(spark, d):
+    """Whole texts with their vectors and depths of halving, which a filter or an aggregate can't compute again."""
+    return V.embed(table(spark, d, "documents").select("doc_id", "text"), "text")
+
+
 def depth_counts(spark, d):
-    words = table(spark, d, "documents").select(F.size(T.words(F.col("text"))).alias("n"))
-    return words.select(V.halving_depth(F.col("n"), BUDGET).cast("bigint").alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return embedded(spark, d).select(F.col("depth").cast("bigint").alias("depth")).groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 def embed_stats(spark, d):
-    """Statistics as if every text were embedded: blank ones have no vector and no depth."""
-    n = F.col("n")
-    rows = table(spark, d, "documents").select(F.size(T.words(F.col("text"))).alias("n")).select(F.when(n > 0, V.halving_depth(n, BUDGET)).alias("depth"), F.when(n > 0, F.array(F.lit(1.0))).otherwise(F.array().cast("array<double>")).alias("embedding"))
-    out = V.embed_stats(rows)
+    out = V.embed_stats(embedded(spark, d))
     return out.select("total_chunks", "successful_embeddings", "empty_vectors", F.array_max(F.map_keys("split_depth_counts")).cast("bigint").alias("max_depth"))
 
 
 def embed_documents(spark, d):
-    out = V.embed(table(spark, d, "documents"), "text")
-    return out.select("doc_id", F.to_json(F.transform("embedding", lambda x: F.round(x.cast("double"), 4))).alias("embedding"), "depth")
+    """Depth and the sign of every component; what is within a millionth of 0 counts as 0."""
+    sign = lambda x: F.when(x > 1e-6, "+").when(x < -1e-6, "-").otherwise("0")
+    out = V.embed(cleaned(spark, d), "text")
+    return out.select("doc_id", F.array_join(F.transform("embedding", sign), "").alias("signs"), F.col("depth").cast("bigint").alias("depth"))
 
 
 def store_valid(spark, d):
@@ -175,7 +393,7 @@ def vector_topk(spark, d):
 
 def vector_topk_batch(spark, d):
     vectors = table(spark, d, "embeddings")
-    queries = vectors.where(f"vec_id < {BATCH}").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = vectors.where(f"vec_id % {EVERY} = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     out = V.search_batch(vectors, queries, 5)
     return out.select("query_id", F.col("rank").cast("bigint").alias("rank"), "vec_id", "distance")
 
@@ -193,11 +411,14 @@ def prompts(spark, d):
 
 
 def ask(spark, d):
-    chunks = D.packed_chunks(table(spark, d, "documents"), "doc_id")
-    # Not filtered here: the search takes valid vectors only, and the texts of hits are then read without embedding anything.
-    store = V.embed(chunks).select(F.xxhash64("doc_id", "chunk_index").alias("vec_id"), "chunk", "embedding", F.to_json(F.struct("doc_id", "chunk_index")).alias("metadata"))
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return rag.ask(questions, store, 5).select("query_id", "answer", F.size("chunks").alias("n_hits"), "error")
+    """The nearest of all chunks for every question; chunks are embedded once, into a written store."""
+    chunks = V.embed(D.packed_chunks(cleaned(spark, d), "doc_id"))
+    rows = chunks.select((F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("vec_id"), "chunk", "embedding", F.to_json(F.struct("doc_id", "chunk_index")).alias("metadata"))
+    at = store.scratch(spark, "store")
+    store.write_stage(rows, at)
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), T.clean_ascii(F.col("text")).alias("query"))
+    out = rag.ask(questions, store.read_vectors(spark, at), 5)
+    return out.select("query_id", F.md5(F.col("answer").cast("binary")).alias("answer_md5"), F.size("chunks").cast("bigint").alias("n_hits"), "error")
 
 
 def metadata_json(spark, d):
@@ -207,9 +428,11 @@ def metadata_json(spark, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        clean_text, normalized_text, doc_listing, doc_count, basename, suffix_filter, basename_latest, preview, pii_emails, pii_phones, pii_codes, sensitive_terms,
-        redact_terms, token_counts, sentence_parts, sentence_chunks, chunk_counts, char_chunks, blocks_headings, blocks_bullets, blocks_tables, mean_pool, depth_counts,
-        embed_stats, embed_documents, store_valid, vector_topk, vector_topk_batch, context_assembly, prompts, ask, metadata_json,
+        clean_text, normalized_text, doc_listing, doc_count, basename, suffix_filter, basename_latest, preview, pii_emails, order_phones, order_codes, sensitive_terms,
+        named_entities, redact_terms, redaction_prompts, redacted_by_model, token_counts, sentence_parts, sentence_chunks, chunk_counts, char_chunks, chunk_errors,
+        docx_text, docx_headings, docx_bullets, docx_tables, docx_flat, docx_errors, docx_files, docx_folders, object_listing, folder_keys, docx_names, txt_names,
+        text_files, json_source, json_defaults, attempted_texts, mean_pool, depth_counts, embed_stats, embed_documents, store_valid, valid_vectors, vector_store,
+        store_counts, vector_literals, vector_topk, vector_topk_batch, context_assembly, prompts, ask, metadata_json,
     )
     return {f.__name__: f for f in every}
 
@@ -247,13 +470,48 @@ _WORDS = r"len(list_filter(string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+',
 _DEPTH = f"CASE WHEN n <= {BUDGET} THEN 0 ELSE " + " + ".join(f"CAST(n > {BUDGET * 2**i} AS BIGINT)" for i in range(20)) + " END"
 
 
+_BAGS = """
+bags AS (SELECT id, path, CAST('0x' || substr(h, 15, 2) AS INTEGER) % 64 AS pos, sum(CASE WHEN substr(h, 1, 1) >= '8' THEN 1.0 ELSE -1.0 END) AS x
+  FROM (SELECT id, path, md5(word) AS h FROM (SELECT id, path, unnest(w) AS word FROM leaves)) GROUP BY ALL),
+norms AS (SELECT id, path, sqrt(sum(CAST(x * x AS DOUBLE))) AS n FROM bags GROUP BY ALL)"""
+_LIST = r"list_filter(string_split(regexp_replace(lower({}), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_EMBED = rf"""
+{_DOCS},
+halves AS (
+  SELECT doc_id AS id, '' AS path, {_LIST.format('text')} AS w FROM docs
+  UNION ALL
+  SELECT id, path || b, CASE b WHEN '0' THEN w[1:len(w) // 2] ELSE w[len(w) // 2 + 1:len(w)] END FROM halves, (VALUES ('0'), ('1')) t(b) WHERE len(w) > {BUDGET}),
+leaves AS (SELECT * FROM halves WHERE len(w) BETWEEN 1 AND {BUDGET}),{_BAGS},
+vec AS (SELECT id, pos, sum(CASE WHEN n > 0 THEN x / n ELSE 0 END * pow(0.5, length(path))) AS v FROM bags JOIN norms USING (id, path) GROUP BY ALL),
+cells AS (SELECT d.id, p.pos, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT id FROM leaves) d CROSS JOIN range(64) p(pos) LEFT JOIN vec v ON v.id = d.id AND v.pos = p.pos)"""
+_ASK = rf"""{_PACKED},
+leaves AS (
+  SELECT doc_id * 1000000 + chunk_index AS id, 'c' AS path, {_LIST.format('chunk')} AS w FROM packed
+  UNION ALL
+  SELECT item_id, 'q', {_LIST.format(_CLEAN)} FROM benchmark),{_BAGS},
+pairs AS (SELECT q.id AS query_id, c.id AS vec_id, sum(CAST(q.x * c.x AS DOUBLE)) AS dot FROM bags q JOIN bags c ON q.path = 'q' AND c.path = 'c' AND q.pos = c.pos GROUP BY ALL),
+near AS (
+  SELECT p.query_id, p.vec_id, row_number() OVER (PARTITION BY p.query_id ORDER BY p.dot / (q.n * c.n) DESC, p.vec_id) AS rank
+  FROM pairs p JOIN norms q ON q.path = 'q' AND q.id = p.query_id JOIN norms c ON c.path = 'c' AND c.id = p.vec_id),
+answers AS (SELECT n.query_id, md5(p.chunk) AS answer_md5 FROM near n JOIN packed p ON p.doc_id * 1000000 + p.chunk_index = n.vec_id WHERE n.rank = 1)"""
+_BLOCKS = r"""s AS (SELECT s_suppkey, s_name, CAST(s_suppkey % 6 + 1 AS INTEGER) AS level, CAST(floor(s_acctbal) AS BIGINT) AS balance, s_nationkey FROM supplier),
+r AS (SELECT *, repeat('#', level) || ' ' || s_name AS h1, '- balance ' || balance AS b1, '- nation ' || s_nationkey AS b2,
+    chr(10) || '---' || chr(10) || '**Table:**' || chr(10) || chr(10) || '| Key | Name |' || chr(10) || '| ' || s_suppkey || ' | ' || s_name || ' part |' || chr(10) || '|  | x |' || chr(10) || chr(10) || '---' || chr(10) AS t FROM s),
+rendered AS (SELECT *, regexp_replace(array_to_string([chr(10) || h1 || chr(10), chr(10) || '# Account' || chr(10), b1, b2, 'padded ' || s_suppkey, t, 'end'], chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM r)"""
+_NOTES = "notes AS (SELECT o_orderkey, 'Call ' || lpad(CAST(o_orderkey AS VARCHAR), 10, '7') || ' or ' || lpad(CAST(o_orderkey AS VARCHAR), 11, '7') || ', not x' || lpad(CAST(o_orderkey AS VARCHAR), 10, '1') || '; see ORD' || o_orderkey || ', O' || o_orderkey || ' and INT' || o_orderkey || 'b.' AS text FROM orders)"
+
+
 def _redacted() -> str:
     use = sorted({t for t in TERMS if t not in KEEP}, key=lambda t: (-len(t), t))
     return f"regexp_replace(text, '(?i){'|'.join(use)}', '[REDACTED]', 'g')"
 
 
+def _redaction(text: str) -> str:
+    return f"""'Replace every company and customer name by [REDACTED] and change nothing else. Leave these names as they are: {', '.join(KEEP)}.' || chr(10) || chr(10) || 'Text:' || chr(10) || {text} || chr(10) || chr(10) || 'Rewritten text:'"""
+
+
 def _cosine(a: str, b: str) -> str:
-    return f"round(1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6) + 0.0"
+    return f"1 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
 def _prompt(passages: str, question: str) -> str:
@@ -273,26 +531,54 @@ def oracle_sql() -> dict[str, str]:
         "basename_latest": f"WITH {_LOADED} SELECT file_name, file_path, page_id FROM (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY file_path || '|' || lpad(CAST(page_id AS VARCHAR), 20, '0') DESC) AS n FROM loaded) WHERE n = 1",
         "preview": f"WITH {_LOADED} SELECT page_id, file_name FROM loaded ORDER BY page_id LIMIT 1",
         "pii_emails": f"SELECT doc_id, len(regexp_extract_all(text, {_EMAIL})) AS n_emails FROM documents",
-        "pii_phones": f"WITH {_DOCS} SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, {_PHONE}), ','), '') AS phones FROM docs",
-        "pii_codes": f"WITH {_DOCS} SELECT doc_id, coalesce(array_to_string(regexp_extract_all(text, {_CODE}), ','), '') AS codes FROM docs",
+        "order_phones": f"WITH {_NOTES} SELECT o_orderkey, coalesce(array_to_string(regexp_extract_all(text, {_PHONE}), ','), '') AS phones FROM notes",
+        "order_codes": f"WITH {_NOTES} SELECT o_orderkey, coalesce(array_to_string(regexp_extract_all(text, {_CODE}), ','), '') AS codes FROM notes",
+        "named_entities": f"""SELECT c_custkey, array_to_string(list_sort(list_filter(['b' || c_custkey || '@x.org', CASE WHEN c_custkey % 2 = 0 THEN 'Dr. Ada Byron' ELSE 'Herr Otto' END,
+            CASE c_custkey % 3 WHEN 0 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Supplies GmbH' WHEN 1 THEN upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Supplies Inc' END,
+            CASE WHEN c_nationkey % 2 = 0 THEN 'NATION_' || c_nationkey END], lambda x: x IS NOT NULL)), ',') AS terms FROM customer""",
         "sensitive_terms": f"WITH {_DOCS} SELECT doc_id, coalesce(array_to_string({terms}, ','), '') AS terms FROM docs",
         "redact_terms": f"SELECT doc_id, md5({_redacted()}) AS text_md5, length({_redacted()}) AS n_chars FROM documents",
         "token_counts": f"WITH {_DOCS} SELECT doc_id, len({_TOKENS.format('text')}) AS n_tokens, {_WORDS} AS n_words FROM docs",
         "sentence_parts": f"WITH RECURSIVE {_SENTENCES} SELECT doc_id, part_no, n AS n_tokens, md5(part) AS part_md5 FROM parts",
         "sentence_chunks": f"WITH RECURSIVE {_PACKED} SELECT doc_id, chunk_index, n_tokens, md5(chunk) AS chunk_md5 FROM packed",
         "chunk_counts": f"WITH RECURSIVE {_PACKED} SELECT d.doc_id, count(p.doc_id) AS n_chunks FROM docs d LEFT JOIN packed p USING (doc_id) GROUP BY d.doc_id",
-        "blocks_headings": f"SELECT page_id, CAST(n - 1 AS BIGINT) AS n, '# ' || {_STRIP.format('h')} AS line FROM (SELECT page_id, generate_subscripts(m, 1) AS n, unnest(m) AS h FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS m FROM pages))",
-        "blocks_bullets": f"""SELECT page_id, len(m) AS n_items, coalesce(array_to_string(list_transform(m, lambda x: '- ' || {_STRIP.format("regexp_replace(x, '<[^>]*>', '', 'g')")}), chr(10)), '') AS lines
-            FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS m FROM pages)""",
-        "blocks_tables": f"""SELECT page_id, len(m) AS n_rows, coalesce(array_to_string(list_transform(m, lambda r: '| ' || coalesce(array_to_string({cells}, ' | '), '') || ' |'), chr(10)), '') AS lines
-            FROM (SELECT page_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS m FROM pages)""",
+        "redaction_prompts": f"SELECT doc_id, md5({_redaction('text')}) AS prompt_md5 FROM documents",
+        "redacted_by_model": f"""WITH p AS (SELECT doc_id, length({_redaction('text')}) AS n FROM documents)
+            SELECT doc_id, CASE WHEN doc_id % 9 <> 0 AND n % 5 <> 0 THEN CAST(n AS VARCHAR) END AS text, CASE WHEN doc_id % 9 = 0 THEN 'unread' WHEN n % 5 = 0 THEN 'ValueError: busy' END AS error FROM p""",
+        "chunk_errors": f"""WITH {_DOCS} SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN length(text) % 7 = 3 THEN 'ValueError: odd' END AS error, length(text) % 7 <> 3 AS has_chunks FROM docs WHERE text <> ''""",
+        "docx_text": f"WITH {_BLOCKS} SELECT s_suppkey, md5(text) AS text_md5, length(text) AS n_chars FROM rendered",
+        "docx_headings": f"WITH {_BLOCKS} SELECT s_suppkey, h1 || '|# Account' AS lines FROM r",
+        "docx_bullets": f"WITH {_BLOCKS} SELECT s_suppkey, b1 || '|' || b2 AS lines FROM r",
+        "docx_tables": f"WITH {_BLOCKS} SELECT s_suppkey, t AS lines FROM r",
+        "docx_flat": f"WITH {_BLOCKS} SELECT s_suppkey, array_to_string([s_name, 'Account', 'balance ' || balance, 'nation ' || s_nationkey, 'padded ' || s_suppkey, '', 'end'], chr(10)) AS text FROM r",
+        "docx_errors": "SELECT s_suppkey, s_suppkey % 7 = 0 AS failed, s_suppkey % 7 <> 0 AS has_text FROM supplier",
+        "docx_files": f"""WITH {_BLOCKS},
+            f AS (SELECT 's' || (s_suppkey // 2) || CASE WHEN (s_suppkey // 2) % 2 = 0 THEN '.DOCX' ELSE '.docx' END AS file_name, md5(text) AS text_md5, row_number() OVER (PARTITION BY s_suppkey // 2 ORDER BY s_suppkey DESC) AS n
+              FROM rendered WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 3)
+            SELECT file_name, text_md5, false AS failed FROM f WHERE n = 1""",
+        "docx_folders": "SELECT 'f' || s_suppkey || '.docx' AS file_name, CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b/c' ELSE 'root' END AS folder FROM supplier",
+        "object_listing": "SELECT 'q/' || item_id || '.txt' AS key, octet_length(encode(text)) AS length FROM benchmark",
+        "folder_keys": "SELECT page_id, 'in/' || page_id || '/x.docx' AS key FROM pages WHERE page_id % 3 <> 0",
+        "docx_names": "SELECT p_partkey, 'part ' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.docx' ELSE '.DOCX' END AS file_name FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 4 <> 0",
+        "txt_names": "SELECT p_partkey, 'part ' || p_partkey || '.txt' AS file_name FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 4 <> 0",
+        "text_files": f"SELECT 'q' || item_id || '.txt' AS source_file, md5({_STRIP.format('text')}) AS text_md5 FROM benchmark WHERE item_id % 5 <> 0 AND item_id % 7 <> 0",
+        "json_source": "SELECT 'q' || item_id AS source_file, md5(CASE WHEN item_id % 3 <> 0 THEN text ELSE '' END) AS chunk_md5, CAST(CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS dims, '{}' AS metadata FROM benchmark",
+        "json_defaults": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'c' || event_id ELSE '' END AS chunk, CASE WHEN event_id % 3 = 0 THEN 'm' ELSE '{}' END AS metadata, CAST(0 AS BIGINT) AS dims FROM events",
+        "attempted_texts": f"WITH {_DOCS} SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN md5(text) END AS text_md5, CASE WHEN doc_id % 4 < 3 THEN 'no text' END AS error FROM docs",
+        "valid_vectors": "SELECT vec_id, len(embedding) AS dims FROM embeddings WHERE vec_id % 5 > 1",
+        "vector_store": """SELECT 'chunk ' || vec_id AS chunk, '{"source_file":"f' || (vec_id // 4) || '","chunk_index":' || (vec_id % 4) || '}' AS metadata, len(embedding) AS dims FROM embeddings WHERE vec_id % 5 > 1""",
+        "store_counts": "SELECT count(*) FILTER (vec_id % 5 > 1) AS inserted, count(*) FILTER (vec_id % 5 <= 1) AS skipped, count(*) AS total FROM embeddings",
+        "vector_literals": "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1000) AS INTEGER)), ',') || ']' AS literal FROM embeddings",
+        "embed_documents": f"""WITH RECURSIVE {_EMBED} SELECT c.id AS doc_id, string_agg(CASE WHEN v > 1e-6 THEN '+' WHEN v < -1e-6 THEN '-' ELSE '0' END, '' ORDER BY pos) AS signs,
+            (SELECT max(length(path)) FROM leaves l WHERE l.id = c.id) AS depth FROM cells c GROUP BY c.id""",
+        "ask": f"""WITH RECURSIVE {_ASK} SELECT item_id AS query_id, answer_md5, least(5, (SELECT count(*) FROM packed)) AS n_hits, CAST(NULL AS VARCHAR) AS error FROM benchmark LEFT JOIN answers ON query_id = item_id""",
         "mean_pool": "SELECT label, pos - 1 AS pos, round(avg(CAST(x AS DOUBLE)), 6) + 0.0 AS mean FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x FROM embeddings) GROUP BY label, pos",
         "depth_counts": f"SELECT {_DEPTH} AS depth, count(*) AS n FROM (SELECT {_WORDS} AS n FROM documents) GROUP BY 1",
         "embed_stats": f"SELECT count(*) AS total_chunks, count(*) FILTER (n > 0) AS successful_embeddings, count(*) FILTER (n = 0) AS empty_vectors, max(CASE WHEN n > 0 THEN {_DEPTH} END) AS max_depth FROM (SELECT {_WORDS} AS n FROM documents)",
         "store_valid": "SELECT vec_id, len(embedding) AS dims FROM embeddings WHERE coalesce(len(embedding), 0) > 0",
-        "vector_topk": f"SELECT v.vec_id, {_cosine('v.embedding', 'q.embedding')} AS distance FROM embeddings v, embeddings q WHERE q.vec_id = 0 ORDER BY distance, v.vec_id LIMIT 5",
-        "vector_topk_batch": f"""SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank, vec_id, distance
-            FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('v.embedding', 'q.embedding')} AS distance FROM embeddings v, embeddings q WHERE q.vec_id < {BATCH})) WHERE rank <= 5""",
+        "vector_topk": f"SELECT vec_id, round(d, 6) + 0.0 AS distance FROM (SELECT v.vec_id, {_cosine('v.embedding', 'q.embedding')} AS d FROM embeddings v, embeddings q WHERE q.vec_id = 0) ORDER BY d, vec_id LIMIT 5",
+        "vector_topk_batch": f"""SELECT query_id, rank, vec_id, round(d, 6) + 0.0 AS distance FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank, vec_id, d
+            FROM (SELECT q.vec_id AS query_id, v.vec_id, {_cosine('v.embedding', 'q.embedding')} AS d FROM embeddings v, embeddings q WHERE q.vec_id % {EVERY} = 0)) WHERE rank <= 5""",
         "context_assembly": "SELECT conv_id, length(c) AS n_chars, md5(c) AS context_md5 FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS c FROM conversations GROUP BY conv_id)",
         "prompts": f"""SELECT conv_id, md5({_prompt('c', 'q')}) AS prompt_md5 FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS c, arg_min(text, turn) FILTER (role = 'user') AS q FROM conversations GROUP BY conv_id) WHERE q IS NOT NULL""",
         "metadata_json": "SELECT event_id, coalesce(len(json_keys(props)), 0) AS n_keys, coalesce(array_to_string(list_sort(json_keys(props)), ','), '') AS keys FROM events",
