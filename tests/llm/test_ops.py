@@ -12,6 +12,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from conftest import DATA, same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import components, decontam, forest, langid, mixing, pii, quality, secretscan, shards, topk, urllists
@@ -285,6 +286,58 @@ def test_pii_partly_disguised():
     assert len(added("a at b dot c, " * 20_000)) == 20_000
 
 
+def disguised(r):
+    """A disguise of a made identifier, by a random choice of the ways that the docstrings name."""
+    kind = r.choice(["email", "ip", "card", "phone"])
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if kind == "email":
+        word = lambda: "".join(r.choice("bcdfgkmnpqrtvwz") for _ in range(6))
+        way = r.randrange(4)
+        if way == 0:
+            return kind, f"{word()}{r.choice([' (at) ', '[at]', ' @ ', '_at_'])}{word()}{r.choice([' [dot] ', '(dot)', '_dot_'])}com"
+        if way == 1:
+            return kind, f"{word()} at {word()} dot {word()} dot org"
+        if way == 2:
+            return kind, f"{word()}@{word()}.com".translate(str.maketrans("co", "со"))
+        return kind, "".join(chr(ord(c) + 0xFEE0) for c in f"{word()}@{word()}.net")
+    if kind == "ip":
+        parts = [str(r.randint(1, 9)) for _ in range(4)]
+        return kind, r.choice([" dot ".join(names[int(x)] for x in parts), ".".join([*parts[:2], names[int(parts[2])], parts[3]])])
+    if kind == "card":
+        d = "4" + digits(14)
+        d += next(c for c in "0123456789" if pii.luhn(d + c))
+        at = r.randrange(4) * 4
+        return kind, " ".join(" ".join(names[int(c)] for c in d[i : i + 4]) if i == at else d[i : i + 4] for i in range(0, 16, 4))
+    d = digits(9)
+    return kind, r.choice(["plus " + " ".join(names[int(c)] for c in "1" + d), f"plus 1 {d[:3]} {d[3:6]} {d[6:]}", f"+1 {' '.join(names[int(c)] for c in d[:3])} {d[3:6]} {d[6:]}"])
+
+
+def test_disguises_are_found_where_they_were_put():
+    """A generator of disguises with known kinds and spans, between plain words."""
+    r = random.Random(31)
+    plain = ["the house was", "and so they went", "nothing more", "quite early", "she said it"]
+    missed = collections.Counter()
+    for _ in range(600):
+        text, want = "", []
+        for _ in range(r.randint(1, 4)):
+            text += r.choice(plain) + "; "
+            kind, own = disguised(r)
+            want.append((kind, len(text), len(text) + len(own)))
+            text += own + " ; "
+        got = set(pii.added_spans(text, pii.base_spans(text)))
+        for w in want:
+            missed[w[0], w in got] += 1
+        assert all(any(k == x and a >= s and b <= e or a <= s and e <= b for x, s, e in want) for k, a, b in got), text
+    assert all(missed[k, False] <= 0.02 * missed[k, True] for k in pii.KINDS), missed
+
+
+def test_many_disguises_in_one_text_take_linear_time():
+    start = time.perf_counter()
+    text = "ann (at) mail dot com, one nine two dot one six eight dot one dot one; " * 25_000
+    assert len(pii.added_spans(text, pii.base_spans(text))) == 50_000 and time.perf_counter() - start < 60
+
+
 def plain_secrets(text):
     out = [("assign", *m.span()) for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -469,6 +522,108 @@ def test_jaccard_judges_texts_that_share_an_id_each_by_itself(spark):
     assert len([x for x in kept if x[0] == 5]) == 1 and len(kept) == 3
 
 
+def test_jaccard_recall_at_whole_tables(spark):
+    """Every link of sf0.01 by brute force over inverted n-grams."""
+    d = f"{DATA}/sf0.01"
+    texts, known = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}, Hashes()
+    sets = {i: forest.ngrams(t, 5, known) for i, t in texts.items()}
+    where = collections.defaultdict(list)
+    for i, g in sets.items():
+        for x in g.tolist():
+            where[x].append(i)
+    common = collections.Counter((i, j) for ids in where.values() if len(ids) > 1 for k, i in enumerate(ids) for j in ids[k + 1 :])
+    links = collections.Counter()
+    for (i, j), n in common.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+            links[i] += 1
+            links[j] += 1
+    out = {r["doc_id"]: r["n_links"] for r in Q.op6_jaccard(spark, d).collect()}
+    assert out == {i: links[i] for i in texts} and sum(links.values()) > 100
+
+
+def test_link_counts_equal_plain_pairs():
+    """Within blocks and between two, with grams that few, many or all sets share."""
+    r = np.random.RandomState(5)
+    base = r.randint(0, 1 << 62, 90).astype(np.uint64)
+    for m, split in ((1, 0), (7, 0), (60, 0), (60, 20), (61, 1), (300, 130)):
+        sets = []
+        for k in range(m):
+            keep = base[r.rand(90) > (0.08 if k % 3 else 0.5)]
+            sets.append(np.unique(np.concatenate([keep, r.randint(0, 40, r.randint(1, 12)).astype(np.uint64), r.randint(0, 1 << 62, r.randint(0, 3)).astype(np.uint64)])))
+        weight = r.randint(1, 5, (m, 2))
+        links, root = forest.link_counts(sets, weight, split, 0.8)
+        want, parent = np.zeros((m, 2), np.int64), list(range(m))
+        plain = [set(x.tolist()) for x in sets]
+        for i in range(m):
+            for j in range(i + 1, m):
+                if (not split or i < split <= j) and jaccard(plain[i], plain[j]) >= 0.8:
+                    want[i] += weight[j]
+                    want[j] += weight[i]
+                    a, b = sorted((parent[i], parent[j]))
+                    parent = [a if x == b else x for x in parent]
+        assert (links == want).all() and root.tolist() == parent
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached():
+    """By the texts' own runs: short ones first in the order of the trees, hot ones only where those don't do."""
+    trees, full, least = 24, 7, 4
+    r = np.random.RandomState(1)
+    sizes = np.ones((50, trees, 4), np.int32)
+    for k in range(50):
+        hot = r.permutation(trees)[: k // 2]
+        sizes[k, hot] = r.randint(65, 5000, (len(hot), 1)) * np.array([8, 4, 2, 1])
+    depth = forest.shortened(sizes, full, least, 0.8, 0.9999, 64)
+    missed = (1 - 0.8 ** depth.astype(float)).prod(axis=1)
+    assert (missed <= 1e-4 * 1.0001).all() and depth.min() >= least and depth.max() == full
+    hot = sizes[:, :, 0] > 64
+    assert (depth[10:20][hot[10:20]] == full).all() and (depth[10:20][~hot[10:20]] < full).all()
+    # One value more anywhere would miss the target.
+    assert (missed[:10] / (1 - 0.8 ** depth[:10].min(axis=1)) * (1 - 0.8 ** (depth[:10].min(axis=1) + 1)) > 1e-4).all()
+
+
+def test_trie_of_many_partitions_equals_one(spark):
+    """Runs that borders of partitions cut still join all their members."""
+    r = np.random.RandomState(9)
+    rows = []
+    for k in range(400):
+        digest = k.to_bytes(16, "big")
+        for tree in range(3):
+            label = np.concatenate([[k // 40 if tree == 0 else r.randint(0, 200)], r.randint(0, 2 if tree == 0 else 50, 6)]).astype(">u2")
+            rows.append((tree, label.tobytes(), digest))
+    df = spark.createDataFrame(rows, "tree int, label binary, digest binary")
+    found = []
+    for parts in ("1", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        held = forest.Held()
+        near = forest.matched(df, 1200, 7, 1)
+        edges = forest.meetings(near.select("tree", "label", "digest", F.lit(1).alias("depth")), 1200, 7, 1, held).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        parent = {k: k for k in range(400)}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            x, y = sorted((find(int.from_bytes(a, "big")), find(int.from_bytes(b, "big"))))
+            parent[y] = x
+        found.append([find(k) for k in range(400)])
+        held.release()
+    heads = collections.defaultdict(list)
+    for tree, label, digest in rows:
+        heads[tree, label[:2]].append(int.from_bytes(digest, "big"))
+    plain = {k: k for k in range(400)}
+    changed = True
+    while changed:
+        changed = False
+        for ks in heads.values():
+            low = min(plain[k] for k in ks)
+            changed |= any(plain[k] != low for k in ks)
+            plain |= dict.fromkeys(ks, low)
+    assert found[0] == found[1] == [plain[k] for k in range(400)]
+
+
 def test_recall_of_the_adapted_depth():
     d = forest.adapted_depth(6, 20, 0.8, 0.999)
     assert forest.chance(d, 20, 0.8) >= 0.999 > forest.chance(d + 1, 20, 0.8)
@@ -618,6 +773,20 @@ def test_pipeline(spark, texts):
 
 
 def test_stages_on_hard_and_empty_rows(spark, hard, none):
-    for df in (hard, none):
-        for _, f in corpus_pipeline.STAGES:
-            f(spark, df, SMALL).count()
+    """Each stage by itself: what it keeps of nulls, empty and very long texts, repeats and clashing columns."""
+    key = lambda df: sorted((-1 if r["doc_id"] is None else r["doc_id"], len(r["text"] or ""), r["text"] is None) for r in df.collect())
+    start = key(hard)
+    got = {name: f(spark, hard, SMALL) for name, f in corpus_pipeline.STAGES}
+    assert all(df.columns == hard.columns for df in got.values())
+    kept = key(got["quality"])
+    # Without labelled rows of both classes all are scored alike.
+    assert kept in ([], start)
+    assert key(got["near copies"]) == sorted(set(start) - {x for x in start if x[0] == 5})
+    assert key(got["benchmark"]) == start and key(got["shards"]) == start
+    mixed = key(got["mix"])
+    assert set(mixed) <= set(start) and {x for x in start if x[1] == 0} <= set(mixed) and max(collections.Counter(mixed).values()) <= 6
+    assert got["shards"].where("shard BETWEEN 0 AND 7").count() == len(start)
+    assert got["mix"].where("digest != 'd' OR comp != 9 OR kind != 'x'").count() == 0
+    for _, f in corpus_pipeline.STAGES:
+        out = f(spark, none, SMALL)
+        assert out.count() == 0 and out.columns == none.columns
