@@ -33,21 +33,25 @@ def health(spark: SparkSession) -> dict:
     return {"ok": True, "user": spark.sql("SELECT current_user() AS u").first()["u"]}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for intermediate files, which goes when the application ends.
-
-    It lies in ``spark.checkpoint.dir``, which all executors share; a local folder serves where that
-    is unset and the master is local too.
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; a local one where that is unset and the master is local too."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quillspark-")
-    path = f"{base.rstrip('/')}/quillspark-{name}-{uuid.uuid4().hex}"
-    at = sc._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(at)
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    have = sc._jsc.sc().getCheckpointDir()
+    if not have.isDefined():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
+        have = sc._jsc.sc().getCheckpointDir()
+    return have.get().rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files below :func:`shared_dir`, which goes when the application ends."""
+    path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
 
