@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,26 +13,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.store import scratch
+
 #: A word for shingles, seeds and statistics: a run of letters and digits.
 WORD = re.compile(r"[^\W_]+")
 #: So many texts at a time become Python objects.
 STEP = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a local one where that is unset."""
-    sc = spark.sparkContext
-    if named := sc.getConf().get("spark.checkpoint.dir"):
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    have = sc._jsc.sc().getCheckpointDir()
-    if not have.isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-        have = sc._jsc.sc().getCheckpointDir()
-    return have.get().rstrip("/")
-
-
 def few_files(df: DataFrame, rows: int | None) -> DataFrame:
     """``df`` dealt out to fewer partitions if it has at most ``rows`` rows, each with 50,000 at least.
 
@@ -52,12 +38,9 @@ def _path(spark: SparkSession, path: str) -> tuple:
 
 
 def _written(df: DataFrame, name: str, rows: int | None) -> tuple[str, DataFrame]:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     few_files(df, rows).write.parquet(path)
-    files, at = _path(spark, path)
-    files.deleteOnExit(at)
-    return path, spark.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame, name: str = "stage", rows: int | None = None) -> DataFrame:
