@@ -276,8 +276,10 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     Returns ``keep`` (doc_id), the number of plain spans of each kind (n_email, n_ip, n_card,
     n_phone), base_sha256 of the plain spans, spans (all, written ``kind:start:end``), n_added (the
     disguised ones) and found (all spans as an array). Offsets are code points, the end exclusive.
-    A null text counts as empty: no spans. Rows are independent, so repeats and nulls in other
-    columns change nothing, and other columns are not read.
+    A null text counts as empty: no spans. Rows are independent, so repeats, ties and nulls in other
+    columns change nothing, and other columns are not read. An empty table gives an empty one. Very
+    long texts are read whole, in time that follows their length, also where they are one run of
+    digits or hold tens of thousands of disguises.
 
     Limits: digits by name are those of ``SPELLED``, each a word or beside digits ("fivefive" is none).
     Plain spans keep their extent: of '+1 743 555 38 two four' the plain part is the span. A digit by

@@ -49,9 +49,10 @@ def evaluate(captures: DataFrame, events: DataFrame, keep: list[str], url: str =
     if none), n_entries (entries in force that match) and blocked. An entry names a domain with all
     below it, or that and a first path segment (``example.com/ads``).
 
-    A capture whose URL is null or has no host, or whose fetch time is null, matches nothing. Rows
-    that repeat are evaluated each; empty tables give no matches or no rows. Other columns of
-    either table are not read.
+    A capture whose URL is null, empty or has no host, or whose fetch time is null, matches nothing.
+    Very long URLs are matched whole. A capture at the very time of an event is judged after it. Rows
+    that repeat are evaluated each; empty tables give no matches or no rows. Columns of ``captures``
+    may have any names, other columns of either table are not read.
 
     List entries meet distinct (host, section) pairs only, which are counted out before any shuffle;
     captures then join the entries of their own pair. The tables joined are written first, so that a
