@@ -172,6 +172,20 @@ SELECT doc_id, size, source_size, target,
 FROM f"""
 
 
+_OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+g AS (SELECT doc_id, text, list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w WHERE len(w) > 0),
+s AS (SELECT doc_id, md5(text) AS t, len(g) AS n, md5(array_to_string(list_sort(g), '|')) AS k FROM g),
+u AS (SELECT doc_id, unnest(g) AS x FROM g),
+c AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS n FROM u a JOIN u b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT i, j, x.t <> y.t AS other, y.t FROM c JOIN s x ON x.doc_id = i JOIN s y ON y.doc_id = j WHERE c.n >= 0.8 * (x.n + y.n - c.n) - 1e-9),
+r(i, j) AS (SELECT i, j FROM l UNION SELECT r.i, l.j FROM r JOIN l ON r.j = l.i)
+SELECT d.doc_id, least(d.doc_id, (SELECT min(j) FROM r WHERE r.i = d.doc_id)) AS class_id,
+  (SELECT count(*) FROM l WHERE l.i = d.doc_id) AS n_links, (SELECT count(DISTINCT t) FROM l WHERE l.i = d.doc_id AND other) AS n_text_links,
+  (SELECT count(*) FROM s x JOIN s y USING (k) WHERE x.doc_id = d.doc_id AND y.doc_id <> d.doc_id) AS n_copies
+FROM documents d"""
+
+
 def _op9_sql() -> str:
     def jumped(shards: int) -> str:
         """The last jump below ``shards`` of every key."""
@@ -203,4 +217,4 @@ FROM c JOIN a USING (key) JOIN b USING (key)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": _op3_sql(), "op5_topk": _OP5_SQL, "op9_jump_shards": _op9_sql(), "op10_mix": _op10_sql()}
+    return {"op3_url_filter": _op3_sql(), "op5_topk": _OP5_SQL, "op6_jaccard": _OP6_SQL, "op9_jump_shards": _op9_sql(), "op10_mix": _op10_sql()}
