@@ -36,7 +36,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Strings to test: unbroken runs of key characters, long enough.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]+")
+CANDIDATE = "[A-Za-z0-9+/_=-]{%d,}"
 #: Known digests and identifiers that are no secrets: hexadecimal (also UUIDs) and digits.
 DIGEST = re.compile(r"[0-9a-fA-F-]+|[0-9A-F-]+")
 #: What an identifier is made of: words, capitals in a row, numbers.
@@ -83,13 +83,13 @@ def identifier(s: str, coder: tiktoken.Encoding, most: float) -> bool:
 def random_spans(text: str, base: list[Span], coder: tiktoken.Encoding, most: float, shortest: int = 20) -> list[Span]:
     """Runs of at least ``shortest`` characters with fewer than ``most`` characters a token, outside the base spans."""
     out, taken = [], sorted(s[1:] for s in base)
-    starts = list(accumulate((b for _, b in taken), max))
-    for m in CANDIDATE.finditer(text):
+    ends = list(accumulate((b for _, b in taken), max))
+    for m in re.finditer(CANDIDATE % shortest, text):
         s, (a, b) = m[0], m.span()
-        if len(s) < shortest or DIGEST.fullmatch(s):
+        if DIGEST.fullmatch(s):
             continue
         # The first base span that may end after this run's start is the only one to start before its end, if any does.
-        i = bisect_right(starts, a)
+        i = bisect_right(ends, a)
         if i < len(taken) and taken[i][0] < b:
             continue
         if len(s) < most * len(coder.encode_ordinary(s)) and not identifier(s, coder, most):
