@@ -40,6 +40,12 @@ def ngrams(text: str | None, n: int, known: Hashes) -> np.ndarray:
     return np.unique(h)
 
 
+def gram_bytes(n: int) -> Callable[[list], list[list]]:
+    """A function from texts to their n-grams as bytes."""
+    known = Hashes()
+    return lambda texts: [[ngrams(t, n, known).tobytes() for t in texts]]
+
+
 def permutations(count: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.RandomState(seed)
     a = r.randint(0, 1 << 32, count, np.uint64) << np.uint64(32) | r.randint(0, 1 << 32, count, np.uint64) | np.uint64(1)
@@ -317,8 +323,10 @@ def link_counts(sets: list[np.ndarray], weight: np.ndarray, split: int, threshol
 ROWS = 400_000
 #: Runs of up to so many members are short: prefixes are shortened in their trees first.
 HOT = 64
-#: A component is cut into this many blocks at least, where they hold an eighth of a block each, so that a hundred tasks share it.
-SPREAD = 14
+#: A component is cut into this many blocks, where they still hold a 32nd of a block each, so that hundreds of groups share it.
+SPREAD = 32
+#: Members of small components that make a group, on average.
+GROUP = 512
 #: Tasks that deal the members of a large component out to its blocks.
 SALTS = 64
 
@@ -343,7 +351,7 @@ def jaccard_join(
     threshold)`` is certain where all its runs are hot, since texts choose by what their runs hold.
     Pairs of one candidate component are all verified, met or not. A component of many members is cut
     into blocks of at most about ``block_docs`` sets or ``block_grams`` n-grams, and each pair of
-    blocks is a group of its own, to which the texts of both go.
+    blocks is a group of its own, to which the n-grams of both go.
     """
     rows = classified(docs, n, threshold, trees, full, recall, block_docs, block_grams)
     return rows.select("doc_id", "class_id", "n_links", "n_text_links", "n_copies")
@@ -367,7 +375,7 @@ def classified(docs: DataFrame, n: int, threshold: float, trees: int, full: int,
     joined = components(edges, count)
     found = joined.count()
     member = held(joined.join(sets, joined["v"] == sets["digest"]).select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "grams"), found)
-    spread = F.least(F.lit(SPREAD), F.ceil(F.count(F.lit(1)) * 8 / block_docs))
+    spread = F.least(F.lit(SPREAD), F.ceil(F.count(F.lit(1)) * 32 / block_docs))
     sizes = held(member.groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_docs), F.ceil(F.sum("grams") / block_grams), spread).cast("int").alias("blocks")), found)
     # Only components of several blocks need their number; salts deal the members of each out.
     salted = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -377,21 +385,30 @@ def classified(docs: DataFrame, n: int, threshold: float, trees: int, full: int,
     pairs = pairs.select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
     pairs = pairs.withColumn("group", F.xxhash64("comp", "lo", "hi"))
     body = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_key"), "text").where(may_be_in("rep", member.select("rep")))
-    body = body.join(member.select("rep", "rep_key"), ["rep", "rep_key"], "left_semi").dropDuplicates(["rep", "rep_key"])
-    rows = pairs.join(body, ["rep", "rep_key"]).select("group", "comp", "lo", "hi", "i", "blocks", "digest", "n_docs", "n_texts", "text")
+    # Texts become n-grams where they are read, once, however many groups they go to.
+    sets_of = map_text(body, ["rep", "rep_key"], lambda: gram_bytes(n), [("set", "binary", pa.binary())])
+    sets_of = sets_of.join(member.select("rep", "rep_key"), ["rep", "rep_key"], "left_semi").dropDuplicates(["rep", "rep_key"])
+    # Small components share groups, so that a group has work enough.
+    many = F.greatest(F.lit(1), F.ceil(F.lit(found) / GROUP)).cast("bigint")
+    group = F.when(F.col("blocks") > 1, F.xxhash64("comp", "lo", "hi")).otherwise(F.pmod(F.xxhash64("comp"), many))
+    rows = pairs.join(sets_of, ["rep", "rep_key"]).select(group.alias("group"), "comp", "lo", "hi", "i", "digest", "n_docs", "n_texts", "set")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
-        known, out = Hashes(), []
-        for (_, lo, hi), p in pdf.groupby(["comp", "lo", "hi"], sort=False):
-            p = p.sort_values(["i", "digest"])
-            grams = [ngrams(t, n, known) for t in p["text"]]
-            first = int((p["i"] == lo).sum())
-            if lo != hi and first in (0, len(p)):
+        pdf = pdf.sort_values(["comp", "lo", "hi", "i", "digest"], ignore_index=True)
+        comp, lo, hi, i = (pdf[c].to_numpy() for c in ("comp", "lo", "hi", "i"))
+        starts = np.flatnonzero(np.concatenate([[True], (comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        grams = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        weight, use = pdf[["n_docs", "n_texts"]].to_numpy(np.int64), np.ones(len(pdf), bool)
+        links, root = np.zeros_like(weight), np.arange(len(pdf))
+        for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            first = int((i[a:b] == lo[a]).sum()) if lo[a] != hi[a] else 0
+            if lo[a] != hi[a] and first in (0, b - a):
+                use[a:b] = False
                 continue
-            links, root = link_counts(grams, p[["n_docs", "n_texts"]].to_numpy(np.int64), first if lo != hi else 0, threshold)
-            digests = p["digest"].to_numpy()
-            out.append(pd.DataFrame({"digest": digests, "n_links": links[:, 0], "n_text_links": links[:, 1], "root": digests[root]}))
-        return pd.concat(out) if out else pd.DataFrame({"digest": [], "n_links": [], "n_text_links": [], "root": []})
+            links[a:b], own = link_counts(grams[a:b], weight[a:b], first, threshold)
+            root[a:b] = own + a
+        digests = pdf["digest"].to_numpy()
+        return pd.DataFrame({"digest": digests, "n_links": links[:, 0], "n_text_links": links[:, 1], "root": digests[root]})[use]
 
     verified = held(rows.groupBy("group").applyInPandas(verify, "digest binary, n_links bigint, n_text_links bigint, root binary"))
     counts = verified.groupBy("digest").agg(F.sum("n_links").alias("links"), F.sum("n_text_links").alias("text_links"))
