@@ -97,14 +97,17 @@ def map_text(
     make: Callable[[], Callable[[list], list[list]]],
     fields: list[tuple[str, str, pa.DataType]],
     text: str = "text",
+    sieve: tuple[Sieve, str] | None = None,
 ) -> DataFrame:
     """Adds to the columns ``keep`` those that a Python function makes of each whole text.
 
     ``make`` runs once a task and returns a function from a list of texts (str or None) to one list
     for each of ``fields`` (name, Spark type, Arrow type). Arrow batches in, Arrow batches out, and
-    columns that are kept never become Python objects.
+    columns that are kept never become Python objects. With a ``sieve`` and a column, only rows are
+    returned whose value there may be wanted, in the same pass, so that one Python process does both.
     """
-    source = rows.select(*keep, text)
+    test, bit = (sieve[0].test(), [sieve[0].bit(sieve[1]).alias("__bit")]) if sieve else (None, [])
+    source = rows.select(*keep, text, *bit)
     ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keep).schema]
     schema = ", ".join(ddl + [f"`{n}` {t}" for n, t, _ in fields])
     names, n = [*keep, *(f[0] for f in fields)], len(keep)
@@ -112,7 +115,8 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in (b.slice(at, STEP) for b in batches for at in range(0, b.num_rows, STEP)):
+        kept = (b.filter(pa.array(test(b.column(n + 1).to_numpy()))) for b in batches) if test else batches
+        for b in (b.slice(at, STEP) for b in kept for at in range(0, b.num_rows, STEP)):
             made = work(b.column(n).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(i) for i in range(n)), *(pa.array(x, k) for x, k in zip(made, kinds, strict=True))],
@@ -134,31 +138,44 @@ def keep_text(rows: DataFrame, make: Callable[[], Callable[[list], list[bool]]],
     return rows.mapInArrow(run, rows.schema)
 
 
-def may_be_in(column: str, wanted: DataFrame, bits: int = 1 << 24) -> Column:
-    """Whether ``column`` may be in the one column of ``wanted``: true for all that are and few others; false for null.
+class Sieve:
+    """Tells values that may be in the one column of ``wanted``: all that are, and few others.
 
     A Bloom filter of one hash with at most ``bits`` bits, whatever the number of keys: its words are
     put together where the keys are. It spares a join rows; once full, it spares none.
     """
-    bit = F.pmod(F.xxhash64(F.col(wanted.columns[0])), F.lit(bits))
-    words = wanted.select(bit.alias("bit")).select(F.expr("CAST(bit DIV 64 AS INT) AS w"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS b"))
-    table = np.zeros(bits // 64, np.int64)
-    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
-    sent = wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
 
-    @F.pandas_udf("boolean")
-    def look_up(at: pd.Series) -> pd.Series:
-        at = at.to_numpy(np.int64)
-        return pd.Series((sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+    def __init__(self, wanted: DataFrame, bits: int = 1 << 24) -> None:
+        self.bits = bits
+        words = wanted.select(self.bit(wanted.columns[0]).alias("bit")).select(F.expr("CAST(bit DIV 64 AS INT) AS w"), F.expr("shiftleft(1L, CAST(bit % 64 AS INT)) AS b"))
+        table = np.zeros(bits // 64, np.int64)
+        got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+        table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+        self.sent = wanted.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+
+    def bit(self, column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column)), F.lit(self.bits))
+
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A function from bits, as :meth:`bit` makes them, to whether their values may be wanted."""
+        sent = self.sent
+        return lambda at: (sent.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+    def may_hold(self, column: str) -> Column:
+        """Whether a value may be wanted; false for null."""
+        test = self.test()
+
+        @F.pandas_udf("boolean")
+        def look_up(at: pd.Series) -> pd.Series:
+            return pd.Series(test(at.to_numpy(np.int64)))
 
-    return F.col(column).isNotNull() & look_up(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)))
+        return F.col(column).isNotNull() & look_up(self.bit(column))
 
 
 class Hashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
-    LIMIT = 1 << 18
+    LIMIT = 1 << 17
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Hashes, Held, cut, few_files, map_text, may_be_in, word_hashes
+from quillspark.llm.common import Hashes, Held, Sieve, cut, few_files, map_text, word_hashes
 from quillspark.llm.components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -384,9 +384,9 @@ def classified(docs: DataFrame, n: int, threshold: float, trees: int, full: int,
     pairs = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("digest", "comp", "rep", "rep_key", "n_docs", "n_texts", "blocks", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i")
     pairs = pairs.withColumn("group", F.xxhash64("comp", "lo", "hi"))
-    body = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_key"), "text").where(may_be_in("rep", member.select("rep")))
+    body = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("text").alias("rep_key"), "text").where("rep IS NOT NULL")
     # Texts become n-grams where they are read, once, however many groups they go to.
-    sets_of = map_text(body, ["rep", "rep_key"], lambda: gram_bytes(n), [("set", "binary", pa.binary())])
+    sets_of = map_text(body, ["rep", "rep_key"], lambda: gram_bytes(n), [("set", "binary", pa.binary())], sieve=(Sieve(member.select("rep")), "rep"))
     sets_of = sets_of.join(member.select("rep", "rep_key"), ["rep", "rep_key"], "left_semi").dropDuplicates(["rep", "rep_key"])
     # Small components share groups, so that a group has work enough.
     many = F.greatest(F.lit(1), F.ceil(F.lit(found) / GROUP)).cast("bigint")
@@ -454,7 +454,7 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, trees: int
     stays = (F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("class_key"))
     per_text = found.groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.min(stays).alias("__stays"), F.count(F.lit(1)).alias("__times"))
     odd = cut(per_text.where("NOT __stays OR __times > 1"), "dropped")
-    touched = may_be_in("doc_id", odd.select("__id"))
+    touched = Sieve(odd.select("__id")).may_hold("doc_id")
     rest = docs.where(touched).join(odd, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
     once = rest.where("__id IS NULL").select(docs.columns)
     again = rest.where("__stays AND __times > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
