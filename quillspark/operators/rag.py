@@ -49,7 +49,7 @@ def redact_by_model(docs: DataFrame, model: Callable[[], Callable[[str], str]],
     return made.drop("__had", "__r")
 
 
-def ask(questions: DataFrame, store: DataFrame, k: int = 5, make: Callable[[], Callable[[str], list[float]]] = V.HashedWords, answer: Callable[[str], str] | None = None) -> DataFrame:
+def ask(questions: DataFrame, store: DataFrame, k: int = 5, make: Callable[[], Callable[[str], list[float]]] = V.HashedWords, answer: Callable[[str], str] | None = None, places: Callable[[Column], Column] | None = None) -> DataFrame:
     """Answers of ``questions`` (query_id, query) from ``store`` (vec_id, chunk, embedding, metadata).
 
     Returns query_id, answer, chunks (chunk, metadata, distance and rank, in order) and error. The
@@ -58,18 +58,23 @@ def ask(questions: DataFrame, store: DataFrame, k: int = 5, make: Callable[[], C
 
     Questions are embedded once and written. The texts of the hits are fetched from the store by
     their ids, which are few: it had better be a written table too.
+
+    With ``places`` (:func:`vectors.places`) the store has a column of that name and ranks are those of
+    :func:`vectors.search_batch` with it; the default answer is null where nothing matches.
     """
     path = scratch(questions.sparkSession, "questions")
-    V.embed(questions, "query", make).select("query_id", "query", "embedding").write.parquet(path)
+    more = [places(F.col("query")).alias("places")] if places else []
+    V.embed(questions, "query", make).select("query_id", "query", "embedding", *more).write.parquet(path)
     asked = questions.sparkSession.read.parquet(path)
-    found = V.search_batch(store, asked.select("query_id", "embedding"), k)
+    found = V.search_batch(store, asked.drop("query"), k, places="places" if places else None)
     hits = found.join(store.select("vec_id", "chunk", "metadata"), "vec_id")
     near = F.array_sort(F.collect_list(F.struct("rank", "chunk", "metadata", "distance")))
     # The context comes from the collected hits, so that the store is searched once.
     passages = F.array_join(F.transform("chunks", lambda x: x["chunk"]), "\n\n")
-    per = hits.groupBy("query_id").agg(near.alias("chunks")).withColumn("context", passages)
+    matched = F.min_by("matched", "rank") if places else F.lit(True)
+    per = hits.groupBy("query_id").agg(near.alias("chunks"), matched.alias("matched")).withColumn("context", passages)
     rows = asked.select("query_id", "query", "embedding").join(per, "query_id", "left")
-    text = F.element_at("chunks", 1)["chunk"]
+    text = F.when(F.col("matched"), F.element_at("chunks", 1)["chunk"])
     if answer is not None:
 
         @F.pandas_udf("string")

@@ -127,9 +127,9 @@ def write_stage(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """The vector store: vec_id, chunk, embedding and metadata."""
-    return spark.read.parquet(path).select("vec_id", "chunk", "embedding", "metadata")
+def read_vectors(spark: SparkSession, path: str, *more: str) -> DataFrame:
+    """The vector store: vec_id, chunk, embedding and metadata, and ``more`` columns that were written with them."""
+    return spark.read.parquet(path).select("vec_id", "chunk", "embedding", "metadata", *more)
 
 
 def insert_one(spark: SparkSession, path: str, chunk: str, vector: list[float], metadata: dict | None = None) -> int:
